@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import embed_dedup, license_scan, url_filter
+from lorekiln.llm import embed_dedup, license_scan, ngram_join, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,12 +22,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_read(spark, sf_dir, "pages")).drop("decided_by")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.embedding_dedup(_read(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_url_filter, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op4_url_filter, op6_ngram_jaccard_join, op9_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
