@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import embed_dedup, license_scan, ngram_join, url_filter
+from lorekiln.llm import decontaminate, embed_dedup, license_scan, ngram_join, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,10 +18,22 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))[0]
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_read(spark, sf_dir, "pages")).drop("decided_by")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    crf = toxicity.learn(docs, _read(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, crf).select(
+        "doc_id", "held_out", "score", "predicted", F.size("span_starts").alias("n_spans")
+    )
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")
 
@@ -31,7 +43,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op4_url_filter, op6_ngram_jaccard_join, op9_embedding_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op9_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,11 +43,20 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
     return have[:n]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash for each buf[start:end], the same wherever it stands."""
+def running(buf: np.ndarray) -> np.ndarray:
+    """Sums over the bytes so far, from which hash_of takes the hash of any span."""
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * _powers(len(buf), False), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(len(buf) + 1, True)[starts] + (ends - starts).astype(np.uint64))
+    return sums
+
+
+def hash_of(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * _powers(len(sums), True)[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each buf[start:end], the same wherever it stands."""
+    return hash_of(running(buf), starts, ends)
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
