@@ -83,39 +83,37 @@ def _signatures(texts: list, k: int) -> dict[str, pa.Array]:
     }
 
 
-def _pairs(bounds: np.ndarray, block: np.ndarray, mixed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows within groups, a bounded number at a time; in mixed groups only those of two blocks."""
+def _pairs(bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups, a bounded number at a time."""
     small: list[tuple[int, int]] = []
     size = 0
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         small.append((a, b))
         size += (b - a) * (b - a - 1) // 2
         if size >= 200_000:
-            yield _some_pairs(small, block, mixed)
+            yield _some_pairs(small)
             small, size = [], 0
     if size:
-        yield _some_pairs(small, block, mixed)
+        yield _some_pairs(small)
 
 
-def _some_pairs(groups, block, mixed):
+def _some_pairs(groups: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.array(groups).T
     n = np.repeat(b, b - a) - np.concatenate([np.arange(x, y) for x, y in groups]) - 1  # partners after each row
     row = np.concatenate([np.arange(x, y) for x, y in groups])
     i = np.repeat(row, n)
     start = np.concatenate(([0], np.cumsum(n)))[:-1]
-    j = i + 1 + np.arange(len(i)) - np.repeat(start, n)
-    keep = ~mixed[i] | (block[i] != block[j])
-    return i[keep], j[keep]
+    return i, i + 1 + np.arange(len(i)) - np.repeat(start, n)
 
 
 def _survivors(batches: Iterator[pd.DataFrame], least: dict[int, int]) -> Iterator[pd.DataFrame]:
-    """Of each bucket, a spanning forest of the pairs that pruning leaves."""
+    """Of each bucket, a spanning forest of the pairs that pruning leaves; two blocks that meet only add what joins their own trees."""
     keys = ["key", "a", "b"]
     for pdf in tv.whole_groups(batches, keys):
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-        mixed = (pdf["a"] != pdf["b"]).to_numpy()
+        mixed, block = (pdf["a"] != pdf["b"]).to_numpy(), pdf["block"].to_numpy()
         ii, jj = [], []
-        for i, j in _pairs(tv.group_bounds(pdf, keys), pdf["block"].to_numpy(), mixed):
+        for i, j in _pairs(tv.group_bounds(pdf, keys)):
             match = np.zeros(len(i), np.int32)
             for n in sorted(least):
                 match += (sig[i, n - SLICE : n] == sig[j, n - SLICE : n]).sum(1, dtype=np.int32)
@@ -124,8 +122,11 @@ def _survivors(batches: Iterator[pd.DataFrame], least: dict[int, int]) -> Iterat
             ii.append(i)
             jj.append(j)
         if ii:
-            low = tv.roots(len(pdf), np.concatenate(ii), np.concatenate(jj))
-            rep, move = pdf["rep"].to_numpy(), np.flatnonzero(low != np.arange(len(pdf)))
+            i, j = np.concatenate(ii), np.concatenate(jj)
+            own = mixed[i] & (block[i] == block[j])
+            tree, low = tv.roots(len(pdf), i[own], j[own]), tv.roots(len(pdf), i, j)
+            every = np.arange(len(pdf))
+            rep, move = pdf["rep"].to_numpy(), np.flatnonzero((tree == every) & (low != every))
             yield pd.DataFrame({"src": rep[low[move]], "dst": rep[move]}).drop_duplicates()
 
 
