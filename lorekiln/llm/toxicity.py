@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from lorekiln.llm import textvec as tv
 
-FIT_DOCS = 8000  # labelled rows that fit the model at most: those with the smallest hashes of their ids
+FIT_DOCS = 4000  # labelled rows that fit the model at most: those with the smallest hashes of their ids
 FIT_CHARS = 32_000  # rows with longer texts are not used to fit; so the sample is bounded
 SEGMENT = 128  # words of a training sequence
-BUCKETS = 1 << 18
+BITS = 20
+BUCKETS = 1 << BITS
 PREFIXES = (4, 5, 6)
 SCORE_CHUNK = 4 << 20
 FEATURES = 3 + len(PREFIXES)
@@ -39,7 +40,7 @@ def features(buf: np.ndarray, offsets: np.ndarray):
     starts, ends = tv.runs(tv.IS_WORD[buf])
     bounds = np.searchsorted(starts, offsets)
     sums = tv.running(buf)
-    shift = np.uint64(64 - 18)
+    shift = np.uint64(64 - BITS)
     word = (tv.hash_of(sums, starts, ends) >> shift).astype(np.int32)
     rows = [word]
     rows += [(tv.hash_of(sums, starts, np.minimum(starts + n, ends)) >> shift).astype(np.int32) for n in PREFIXES]
@@ -120,29 +121,47 @@ def _train(crf: Crf, feats: np.ndarray, y: np.ndarray, bounds: np.ndarray, round
         crf.weight[f][u] = x[at[f] : at[f + 1]]
 
 
-def label_words(feats: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for words of toxic documents whose own features (word or first letters) stand in toxic documents far above chance."""
+def label_words(feats: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, support: int = 4) -> np.ndarray:
+    """1 for the words of toxic documents that make them so.
+
+    Features (words and first letters) are taken in rounds: of those that stand in toxic documents far above chance,
+    the ones that explain the most toxic documents not explained yet. A word that only keeps company with toxic words has nothing left to
+    explain and is not marked.
+    """
     docs = np.repeat(np.arange(len(toxic)), np.diff(bounds))
+    kinds = 1 + len(PREFIXES)
+    pairs = np.unique(np.concatenate([np.unique((docs * kinds + f) * BUCKETS + feats[f]) for f in range(kinds)]))
+    doc, feature = pairs // (kinds * BUCKETS), (pairs % (kinds * BUCKETS)).astype(np.int32)
+    hot = toxic[doc] > 0
+    d0 = np.bincount(feature[~hot], minlength=kinds * BUCKETS) + 0.5
+    base = np.log(d0 / ((1 - toxic).sum() + 1.0))
+    doc, feature = doc[hot], feature[hot]
+    chosen = np.zeros(kinds * BUCKETS, bool)
+    n1 = toxic.sum() + 1.0
+    for _ in range(60):
+        d1 = np.bincount(feature, minlength=kinds * BUCKETS) + 0.5
+        sure = np.log(d1 / n1) - base - 2.0 * np.sqrt(1 / d1 + 1 / d0) > np.log(3.0)
+        sure &= (d1 >= support) & ~chosen
+        if not sure.any():
+            break
+        take = sure & (d1 >= 0.5 * d1[sure].max())
+        chosen |= take
+        left = ~np.isin(doc, doc[take[feature]])
+        doc, feature = doc[left], feature[left]
     marked = np.zeros(len(docs), bool)
-    n1, n0 = toxic.sum() + 1.0, (1 - toxic).sum() + 1.0
-    for f in range(1 + len(PREFIXES)):
-        pair = np.unique(docs * BUCKETS + feats[f])
-        bucket, hot = pair % BUCKETS, toxic[pair // BUCKETS] > 0
-        d1 = np.bincount(bucket[hot], minlength=BUCKETS) + 0.5
-        d0 = np.bincount(bucket[~hot], minlength=BUCKETS) + 0.5
-        sure = np.log(d1 / n1) - np.log(d0 / n0) - 2.5 * np.sqrt(1 / d1 + 1 / d0)
-        marked |= (sure > np.log(2.0))[feats[f]]
+    for f in range(kinds):
+        marked |= chosen[f * BUCKETS + feats[f]]
     return (marked & (toxic[docs] > 0)).astype(np.int64)
 
 
 def _summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Of each document: 1, the log odds of its most toxic word, the log of its expected number of toxic words and 1."""
+    """Of each document: 1, the log odds of its most toxic word, the log of 1 and its expected number of likely toxic words."""
     n = len(bounds) - 1
     some = np.flatnonzero(np.diff(bounds) > 0)
     most, total = np.full(n, 1e-6), np.zeros(n)
     if len(some):
         most[some] = np.clip(np.maximum.reduceat(p, bounds[some]), 1e-6, 1 - 1e-6)
-        total[some] = np.add.reduceat(p, bounds[some])
+        total[some] = np.add.reduceat(np.where(p >= 0.2, p, 0.0), bounds[some])
     return np.stack([np.ones(n), np.log(most / (1 - most)), np.log1p(total)], 1)
 
 
@@ -159,6 +178,7 @@ def fit(texts: list[str], toxic: list[int]) -> Crf:
         all_bounds.append(p[3][1:] + at)
         at += p[3][-1]
     bounds = np.concatenate(all_bounds)
+    del parts
     marks = label_words(feats, bounds, y)
     keep = np.flatnonzero(y)
     clean = np.flatnonzero(y == 0)
@@ -167,7 +187,11 @@ def fit(texts: list[str], toxic: list[int]) -> Crf:
     cuts = np.concatenate([np.arange(0, bounds[d + 1] - bounds[d], SEGMENT) + s for d, s in zip(keep, np.cumsum([0, *(bounds[keep + 1] - bounds[keep])[:-1]]), strict=True)])
     if len(rows):
         _train(crf, feats[:, rows], marks[rows], np.append(cuts, len(rows)))
-    x = _summary(marginals(crf, feats, bounds), bounds)
+    x = []
+    for d in range(0, len(y), 256):  # some documents at a time, for the driver's memory
+        own = bounds[d : d + 257]
+        x.append(_summary(marginals(crf, feats[:, own[0] : own[-1]], own - own[0]), own - own[0]))
+    x = np.concatenate(x)
     c = np.zeros(3)
     for _ in range(30):
         p = _sigmoid(x @ c)
