@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import decontaminate, embed_dedup, license_scan, mixing, ngram_join, token_output, toxicity, url_filter
+from lorekiln.llm import ctw_lm, decontaminate, embed_dedup, license_scan, mixing, ngram_join, token_output, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "component_id", "n_links", "kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw_lm.score_corpus(_read(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -57,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op8_token_output, op9_embedding_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_token_output, op9_embedding_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
