@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import ctw_lm, decontaminate, embed_dedup, license_scan, mixing, ngram_join, token_output, toxicity, url_filter
+from lorekiln.llm import chat_format, ctw_lm, decontaminate, embed_dedup, license_scan, mixing, ngram_join, token_output, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_read(spark, sf_dir, "documents"))[0]
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(_read(spark, sf_dir, "conversations"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -61,7 +65,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_token_output, op9_embedding_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_token_output, op9_embedding_dedup, op10_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
