@@ -22,6 +22,8 @@ def containment(chunks: DataFrame, terms: DataFrame, chunk_key: str = "chunk_id"
     none = F.array().cast("array<string>")
 
     def of_length(n: int):
+        if n == 1:
+            return F.col("w")
         starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
         return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(none)
 
