@@ -1,53 +1,5 @@
-"""Connected components of an edge table, by repeated contraction to the smallest neighbour."""
+"""Connected components for the operators of this subpackage."""
 
-from __future__ import annotations
+from lorekiln.operators.components import components as connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lorekiln.llm.store import cut
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(src, dst); component is the smallest node it reaches.
-
-    Each round maps every node to its smallest neighbour (a map-side combined min), rewrites the
-    edges between those representatives and drops loops and repeats, so the graph shrinks by a
-    factor each round and paths of any length end after logarithmically many. A hub's edges are only
-    ever min-aggregated or sort-merge joined, which adaptive execution splits. Null ends are ignored;
-    self-loops give their node a component; an empty table gives an empty result.
-    """
-    pairs = edges.select(F.col("src"), F.col("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    nodes = cut(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    live = cut(
-        pairs.where("src <> dst")
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .distinct()
-    )
-    steps: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
-        low = live.select(F.col("dst").alias("node"), F.col("src").alias("to")).unionByName(
-            live.select(F.col("src").alias("node"), F.col("src").alias("to"))
-        )
-        step = cut(low.groupBy("node").agg(F.min("to").alias("to")))
-        steps.append(step)
-        a = step.select(F.col("node").alias("src"), F.col("to").alias("a"))
-        b = step.select(F.col("node").alias("dst"), F.col("to").alias("b"))
-        live = cut(
-            live.join(a, "src")
-            .join(b, "dst")
-            .where("a <> b")
-            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-            .distinct()
-        )
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    out = nodes.select("node", F.col("node").alias("component"))
-    for step in steps:
-        s = step.select(F.col("node").alias("component"), F.col("to"))
-        out = out.join(s, "component", "left").select(
-            "node", F.coalesce("to", "component").alias("component")
-        )
-    return out
+__all__ = ["connected_components"]

@@ -268,5 +268,5 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     Rows whose doc_id is null are never dropped.
     """
     kept = ngram_jaccard_join(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id IS NULL"))

@@ -1,26 +1,5 @@
 """Where intermediate results are cut: the checkpoint folder that all machines share."""
 
-from __future__ import annotations
+from lorekiln.operators.components import cut, ensure_checkpoint_dir
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take spark.checkpoint.dir from the session; only a local session without one gets a folder of its own."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(shared)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the shared folder: lineage ends here and survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "ensure_checkpoint_dir"]
