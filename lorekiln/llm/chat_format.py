@@ -25,7 +25,13 @@ NAMES = {
     "assistant": 2, "ai": 2, "bot": 2, "gpt": 2, "model": 2, "agent": 2, "answer": 2, "a": 2, "/inst": 2,
 }
 MARKER = re.compile(
-    r"^\s*(?:<\|im_start\|>\s*|<\|)?(?:#{1,4}\s*|\*\*|\[|<)?\s*(/?[A-Za-z]{1,12})\s*(?:\|>|\*\*\s*:|:\s*\*\*|\]|>|:)\s*(?:\n|$)?"
+    r"""^\s*(?:
+        <\|im_start\|>\s*([A-Za-z]{1,12})\s*$                                # <|im_start|>user
+      | <\|(/?[A-Za-z]{1,12})\|>                                             # <|user|>
+      | \[(/?[A-Za-z]{1,12})\]                                               # [INST]
+      | (?:\#{1,4}\s*|\*\*)?(/?[A-Za-z]{1,12})\s*(?:\*\*\s*:|:\s*\*\*|:)       # ### User:  **User:**
+    )\s*""",
+    re.VERBOSE,
 )
 CLOSERS = re.compile(r"\s*(?:<\|im_end\|>|<\|end\|>|</s>)\s*$")
 SEGMENT = 256  # turns decoded together; longer conversations are joined from segments
@@ -42,7 +48,7 @@ MOVES = np.array([[1.0, 8.0, 1.0], [0.5, 1.0, 8.0], [0.5, 8.0, 1.0]])
 def marker(line: str) -> tuple[int, str]:
     """(role that the line's head marks or UNKNOWN, the line without the marker)."""
     m = MARKER.match(line)
-    role = NAMES.get(m.group(1).lower()) if m else None
+    role = NAMES.get(m.group(m.lastindex).lower()) if m else None
     return (UNKNOWN, line) if role is None else (role, line[m.end() :])
 
 
