@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions import text as X
 from lorekiln.functions import values as V
-from lorekiln.operators import candidates, cluster, components, dedupe, merge, rollups, rules, sections, serve
+from lorekiln.operators import batch, candidates, cluster, components, dedupe, merge, rollups, rules, sections, serve
 from lorekiln.plans import tables as T
 from lorekiln.streaming import feedback
 
@@ -651,3 +651,70 @@ def as_of_purchase(spark, sf_dir):
     bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return e.withColumn("last", F.max(bought).over(w)).where("event_type = 'click'").select("event_id", F.col("last.event_id").alias("last_purchase"))
+
+
+# ---------------------------------------------------------------- batch driving
+
+
+@query()
+def feedback_event_ids(spark, sf_dir):
+    """Version-5 UUIDs of event keys (held against Python's own in the tests)."""
+    return T.feedback(spark, sf_dir).select("event_id", F.concat(F.lit("feedback:"), "event_key").alias("url")).withColumn("uuid", X.uuid5(F.col("url")))
+
+
+@query("""SELECT p_type, sha1(string_agg(DISTINCT p_brand, chr(30) ORDER BY p_brand) || chr(31) || p_type)[1:16] AS inputs FROM part GROUP BY p_type""")
+def input_hashes(spark, sf_dir):
+    g = T.read(spark, sf_dir, "part").groupBy("p_type").agg(F.collect_set("p_brand").alias("names"))
+    return g.select("p_type", X.inputs_hash(F.col("names"), F.col("p_type")).alias("inputs"))
+
+
+@query("""SELECT o_orderkey, lane, place FROM (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM (
+SELECT *, CASE WHEN o_orderpriority = '1-URGENT' THEN 'text' WHEN o_orderstatus = 'F' THEN 'visual' END AS lane FROM orders) WHERE lane IS NOT NULL)
+WHERE (lane = 'text' AND place >= 10 AND place < 60) OR (lane = 'visual' AND place < 40)""")
+def lane_plan(spark, sf_dir):
+    specs = {"text": (F.col("o_orderpriority") == "1-URGENT", 10, 50), "visual": (F.col("o_orderstatus") == "F", 0, 40)}
+    return batch.lanes(T.read(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], specs).select("o_orderkey", "lane", F.col("at").alias("place"))
+
+
+@query("""SELECT DISTINCT l_partkey, unnest(range(l_linenumber, l_linenumber + l_quantity::INT % 5 + 1)) AS page_no FROM lineitem""")
+def expand_pages(spark, sf_dir):
+    li = T.read(spark, sf_dir, "lineitem")
+    s = li.select("l_partkey", F.col("l_linenumber").cast("long").alias("page_start"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 5).cast("long").alias("page_end"))
+    return batch.expanded_pages(s, "l_partkey")
+
+
+@query("""SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2""")
+def latest_task(spark, sf_dir):
+    return batch.latest(T.read(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def resume_unprocessed(spark, sf_dir):
+    return batch.unprocessed(T.read(spark, sf_dir, "documents").select("doc_id"), T.read(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("""SELECT doc_id, source, used FROM (SELECT doc_id, source, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used FROM documents) WHERE used < 20000""")
+def token_budget(spark, sf_dir):
+    d = T.read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return batch.within_budget(d, "source", ["doc_id"], "n_chars", 20000).select("doc_id", "source", "used")
+
+
+@query("""SELECT p_partkey, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) // 30 AS batch FROM part""")
+def batches_of_names(spark, sf_dir):
+    return batch.batches(T.read(spark, sf_dir, "part").select("p_type", "p_partkey"), "p_type", ["p_partkey"], 30).select("p_partkey", "batch")
+
+
+@query("""WITH e AS (SELECT p_brand, count(*) AS expected FROM part GROUP BY 1), v AS (SELECT p_brand, least(count(*), 12) AS visible FROM part WHERE p_size > 2 GROUP BY 1)
+SELECT p_brand, coalesce(expected, 0) AS expected, coalesce(visible, 0) AS visible, CASE WHEN coalesce(visible, 0) >= coalesce(expected, 0) THEN 'passed' WHEN visible = 12 AND expected > 12 THEN 'passed_partial' ELSE 'failed' END AS status FROM e FULL JOIN v USING (p_brand)""")
+def semantic_smoke(spark, sf_dir):
+    p = T.read(spark, sf_dir, "part")
+    expected = p.groupBy("p_brand").agg(F.count("*").alias("expected"))
+    visible = p.where("p_size > 2").groupBy("p_brand").agg(F.least(F.count("*"), F.lit(12)).alias("visible"))
+    return batch.smoke_status(expected, visible, "p_brand", 12)
+
+
+@query("""SELECT conv_id, string_agg(turn || '.' || length(role), ',' ORDER BY turn, length(role)) AS ordered FROM conversations GROUP BY 1""")
+def dotted_sections(spark, sf_dir):
+    c = T.read(spark, sf_dir, "conversations").select("conv_id", F.concat("turn", F.lit("."), F.length("role")).alias("s"))
+    pairs = F.array_sort(F.collect_list(F.struct(X.dotted_order(F.col("s")).alias("k"), "s")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(pairs, lambda x: x["s"]), ",").alias("ordered"))

@@ -41,7 +41,7 @@ def safe_slug(x: Column) -> Column:
 
 def clean_page(x: Column) -> Column:
     """Lines trimmed, blank lines and NULs dropped."""
-    lines = F.transform(F.split(F.regexp_replace(x, "\\x00", ""), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(x, "\\x00", ""), "\n"), lambda s: F.trim(s))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
@@ -137,3 +137,25 @@ def prose_range(x: Column) -> Column:
             F.coalesce(F.size(rising), F.lit(0)) == 0, out
         )
     return out
+
+
+#: Fixed value: the name space of URLs for version-5 UUIDs.
+URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def uuid5(x: Column) -> Column:
+    """The version-5 UUID of a URL, from its SHA-1."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_SPACE)), F.encode(x, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
+def inputs_hash(names: Column, *rest: Column) -> Column:
+    """The same for the same names in any order."""
+    return F.substring(F.sha1(F.concat_ws("\x1f", F.array_join(F.array_sort(names), "\x1e"), *rest)), 1, 16)
+
+
+def dotted_order(x: Column) -> Column:
+    """A key that orders dotted section numbers by their numbers."""
+    return F.transform(F.split(x, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(0).cast("long")))

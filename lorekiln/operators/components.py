@@ -27,44 +27,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
     """(node, component) for every node of edges(src, dst); component is the smallest node it reaches.
 
-    Each round maps every node to its smallest neighbour (a map-side combined min), rewrites the
-    edges between those representatives and drops loops and repeats, so the graph shrinks by a
-    factor each round and paths of any length end after logarithmically many. A hub's edges are only
+    Nodes have an order by hash. Each round maps every node to the first of itself and its neighbours (a map-side combined
+    min), rewrites the edges between those and drops loops and repeats. The order being random, a share of the nodes of any path goes
+    in each round, so rounds grow with the logarithm of the longest path, and a star is gone in three. A hub's edges are only
     ever min-aggregated or sort-merge joined, which adaptive execution splits. Null ends are ignored;
     self-loops give their node a component; an empty table gives an empty result.
     """
     pairs = edges.select(F.col("src"), F.col("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
     nodes = cut(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    live = cut(
-        pairs.where("src <> dst")
-        .select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .distinct()
-    )
+    sides = lambda df, a, b: df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct()
+    live = cut(sides(pairs, "src", "dst"))
     steps: list[DataFrame] = []
     for _ in range(max_rounds):
         if live.isEmpty():
             break
-        low = live.select(F.col("dst").alias("node"), F.col("src").alias("to")).unionByName(
-            live.select(F.col("src").alias("node"), F.col("src").alias("to"))
-        )
-        step = cut(low.groupBy("node").agg(F.min("to").alias("to")))
+        ends = F.array(*(F.struct(F.col(a).alias("node"), F.col(b).alias("to")) for a in ("src", "dst") for b in ("src", "dst")))
+        near = live.select(F.inline(ends))
+        first = F.min(F.struct(F.xxhash64("to").alias("h"), "to"))
+        step = cut(near.groupBy("node").agg(first.alias("first")).select("node", "first.to"))
         steps.append(step)
         a = step.select(F.col("node").alias("src"), F.col("to").alias("a"))
         b = step.select(F.col("node").alias("dst"), F.col("to").alias("b"))
-        live = cut(
-            live.join(a, "src")
-            .join(b, "dst")
-            .where("a <> b")
-            .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-            .distinct()
-        )
+        live = cut(sides(live.join(a, "src").join(b, "dst"), "a", "b"))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    out = nodes.select("node", F.col("node").alias("component"))
+    out = nodes.select("node", F.col("node").alias("root"))
     for step in steps:
-        s = step.select(F.col("node").alias("component"), F.col("to"))
-        out = out.join(s, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return out
+        s = step.select(F.col("node").alias("root"), F.col("to"))
+        out = out.join(s, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    least = out.groupBy("root").agg(F.min("node").alias("component"))
+    return out.join(least, "root").select("node", "component")

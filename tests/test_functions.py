@@ -76,3 +76,12 @@ def test_authority(spark):
     assert at("ASHRAE 90.1.pdf") == "industry_standard" and at("building code.pdf") == "regulatory_code"
     assert at("x.pdf", "York") == "oem_manual" and at("pump sop.doc") == "internal_sop" and at("hvac handbook.pdf") == "academic_reference" and at("x.pdf") is None
     assert one(spark, rules.first_brand(F.lit("york and abb"))) == "abb"
+
+
+def test_ids_and_orders(spark):
+    import uuid
+
+    assert one(spark, X.uuid5(F.lit("feedback:é|7"))) == str(uuid.uuid5(uuid.NAMESPACE_URL, "feedback:é|7"))
+    a, b = (X.inputs_hash(F.array(*map(F.lit, names)), F.lit("t")) for names in (("x", "y"), ("y", "x")))
+    assert one(spark, a) == one(spark, b)
+    assert one(spark, X.dotted_order(F.lit("5.10.b"))) == [5, 10, 0]
