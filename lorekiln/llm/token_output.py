@@ -30,7 +30,7 @@ BLOCK_IDS = 1 << 20  # ids of a block; one longer document has a block of its ow
 LANES = 1024
 CHECKPOINT = 512  # rows of lanes between checkpoints
 MAGIC = b"RANS1\0"
-CACHE = 1_500_000  # pieces whose ids a worker remembers
+CACHE = 500_000  # pieces whose ids a worker remembers
 #: Kinds of bytes: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation without the apostrophe, 3 the rest.
 KIND = np.full(256, 3, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -65,9 +65,12 @@ class PieceCache:
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         """Add pieces whose (sorted) keys are not known yet."""
-        encoded = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        size = np.array([len(e) for e in encoded], np.int64)
-        new = np.fromiter((i for e in encoded for i in e), np.uint32, int(size.sum()))
+        sizes, found = [], []
+        for i in range(0, len(pieces), 4096):  # the library's own results are large
+            encoded = [e.ids for e in self.tokenizer.encode_batch(pieces[i : i + 4096], add_special_tokens=False)]
+            sizes.append(np.array([len(e) for e in encoded], np.int64))
+            found.append(np.fromiter((x for e in encoded for x in e), np.uint32, int(sizes[-1].sum())))
+        size, new = np.concatenate(sizes), np.concatenate(found)
         at = len(self.ids) + np.cumsum(size) - size
         where = np.searchsorted(self.keys, keys)
         self.ids = np.concatenate([self.ids, new])
@@ -75,7 +78,7 @@ class PieceCache:
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for first, end, buf, offsets in tv.chunks(texts, 4 << 20):
+        for first, end, buf, offsets in tv.chunks(texts, 2 << 20):
             kind = KIND[buf]
             inside = kind > 0
             starts_here = inside & ~np.concatenate(([False], inside[:-1]))
