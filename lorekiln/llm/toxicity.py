@@ -22,7 +22,7 @@ SEGMENT = 128  # words of a training sequence
 BITS = 20
 BUCKETS = 1 << BITS
 PREFIXES = (4, 5, 6)
-SCORE_CHUNK = 4 << 20
+SCORE_CHUNK = 2 << 20
 FEATURES = 3 + len(PREFIXES)
 
 
@@ -128,18 +128,28 @@ def label_words(feats: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, suppor
     the ones that explain the most toxic documents not explained yet. A word that only keeps company with toxic words has nothing left to
     explain and is not marked.
     """
-    docs = np.repeat(np.arange(len(toxic)), np.diff(bounds))
+    docs = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(bounds))
     kinds = 1 + len(PREFIXES)
-    pairs = np.unique(np.concatenate([np.unique((docs * kinds + f) * BUCKETS + feats[f]) for f in range(kinds)]))
-    doc, feature = pairs // (kinds * BUCKETS), (pairs % (kinds * BUCKETS)).astype(np.int32)
-    hot = toxic[doc] > 0
-    d0 = np.bincount(feature[~hot], minlength=kinds * BUCKETS) + 0.5
+    hot_words = toxic[docs] > 0
+    known, doc, feature, d0 = [], [], [], []
+    at = 0
+    for f in range(kinds):  # only features of toxic documents are told apart
+        ids, own = np.unique(feats[f][hot_words], return_inverse=True)
+        pair = np.unique(docs[hot_words].astype(np.int64) * len(ids) + own)
+        doc.append((pair // max(1, len(ids))).astype(np.int32))
+        feature.append((pair % max(1, len(ids)) + at).astype(np.int32))
+        where = np.minimum(np.searchsorted(ids, feats[f][~hot_words]), len(ids) - 1)
+        same = ids[where] == feats[f][~hot_words]
+        pair = np.unique(docs[~hot_words][same].astype(np.int64) * len(ids) + where[same])
+        d0.append(np.bincount(pair % max(1, len(ids)), minlength=len(ids)) + 0.5)
+        known.append(ids)
+        at += len(ids)
+    doc, feature, d0 = np.concatenate(doc), np.concatenate(feature), np.concatenate(d0)
     base = np.log(d0 / ((1 - toxic).sum() + 1.0))
-    doc, feature = doc[hot], feature[hot]
-    chosen = np.zeros(kinds * BUCKETS, bool)
+    chosen = np.zeros(at, bool)
     n1 = toxic.sum() + 1.0
     for _ in range(60):
-        d1 = np.bincount(feature, minlength=kinds * BUCKETS) + 0.5
+        d1 = np.bincount(feature, minlength=at) + 0.5
         sure = np.log(d1 / n1) - base - 2.0 * np.sqrt(1 / d1 + 1 / d0) > np.log(3.0)
         sure &= (d1 >= support) & ~chosen
         if not sure.any():
@@ -149,9 +159,11 @@ def label_words(feats: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, suppor
         left = ~np.isin(doc, doc[take[feature]])
         doc, feature = doc[left], feature[left]
     marked = np.zeros(len(docs), bool)
-    for f in range(kinds):
-        marked |= chosen[f * BUCKETS + feats[f]]
-    return (marked & (toxic[docs] > 0)).astype(np.int64)
+    at = 0
+    for f, ids in enumerate(known):
+        marked[hot_words] |= np.isin(feats[f][hot_words], ids[chosen[at : at + len(ids)]])
+        at += len(ids)
+    return marked.astype(np.int64)
 
 
 def _summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -171,14 +183,18 @@ def fit(texts: list[str], toxic: list[int]) -> Crf:
     if not len(y) or y.min() == y.max():
         crf.default = float(y.mean()) if len(y) else 0.0
         return crf
-    parts = [features(buf, offsets) for _, _, buf, offsets in tv.chunks(texts)]
-    feats = np.concatenate([p[0] for p in parts], 1)
-    at, all_bounds = 0, [np.zeros(1, np.int64)]
-    for p in parts:
-        all_bounds.append(p[3][1:] + at)
-        at += p[3][-1]
-    bounds = np.concatenate(all_bounds)
-    del parts
+    parts, sizes = [], []
+    for _, _, buf, offsets in tv.chunks(texts):
+        part, _, _, own = features(buf, offsets)
+        parts.append(part)
+        sizes.append(np.diff(own))
+    bounds = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    feats = np.empty((FEATURES, bounds[-1]), np.int32)
+    at = 0
+    while parts:
+        part = parts.pop(0)
+        feats[:, at : at + part.shape[1]] = part
+        at += part.shape[1]
     marks = label_words(feats, bounds, y)
     keep = np.flatnonzero(y)
     clean = np.flatnonzero(y == 0)
