@@ -22,6 +22,7 @@ MAX_EDITS = 0.2  # edited words, as a share of the item's
 SAMPLED, REPEATS = 2, 64  # neighbouring places of a walk are upset together: at 9 in 10 upset an item is still met with 0.998
 MIN_WORDS = 2
 ITEM_BLOCK_WORDS = 1_000_000  # bound of the items broadcast at once; a larger benchmark is scanned in blocks
+MEET_WORDS = 1 << 17  # words of the windows that are walked at once
 _SEED = np.uint64(0xA24BAED4963EE407)
 
 
@@ -60,17 +61,16 @@ def edit_distance(items: np.ndarray, texts: np.ndarray, size: np.ndarray) -> tup
 def sampled_keys(rows: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
     """REPEATS keys of each row: in each repetition a walk of its own, hashed at SAMPLED places from a random one on."""
     picks = np.random.default_rng(n).integers(0, 2 * n, (REPEATS, 1)) + np.arange(SAMPLED)
-    walked = walk(
-        np.tile(rows, (REPEATS, 1)), np.tile(size, REPEATS), np.repeat(np.arange(REPEATS), len(rows)), int(picks.max()) + 1
-    ).reshape(REPEATS, len(rows), -1)
     out = np.zeros((REPEATS, len(rows)), np.uint64)
-    for j in range(SAMPLED):
-        out = tv.mix(out * tv._P + np.take_along_axis(walked, picks[:, None, j : j + 1], 2)[..., 0])
+    for r, at in enumerate(picks):
+        walked = walk(rows, size, np.full(len(rows), r), int(at[-1]) + 1)
+        for j in at:
+            out[r] = tv.mix(out[r] * tv._P + walked[:, j])
     return out
 
 
 class Items:
-    """Benchmark items ready to be searched: their word pairs, and by size their words and LSH tables."""
+    """Benchmark items ready to be searched: their word pairs, and by size their words and LSH keys."""
 
     def __init__(self, ids: list, texts: list, max_edits: float):
         self.max_edits = max_edits
@@ -82,18 +82,19 @@ class Items:
                 if len(w) >= MIN_WORDS:
                     by_size.setdefault(len(w), []).append((ids[first + d], w))
         self.sizes = {}
-        grams, of = [], []
+        grams, of, pos, sizes = [], [], [], []
         for n, items in sorted(by_size.items()):
             rows = np.stack([w for _, w in items])
-            keys = sampled_keys(rows, np.full(len(rows), n), n)
-            order = np.argsort(keys, axis=1)
-            self.sizes[n] = ([i for i, _ in items], rows, np.take_along_axis(keys, order, 1), order)
-            mine = np.unique(tv.mix(rows[:, :-1] * tv._P + rows[:, 1:]))
-            grams.append(mine)
-            of.append(np.full(len(mine), n, np.int32))
-        gram, of = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros(0, np.int32), *of])
+            self.sizes[n] = ([i for i, _ in items], rows, sampled_keys(rows, np.full(len(rows), n), n), len(sizes))
+            grams.append(tv.mix(rows[:, :-1] * tv._P + rows[:, 1:]).ravel())
+            of.append(np.repeat(np.arange(len(sizes), len(sizes) + len(rows), dtype=np.int32), n - 1))
+            pos.append(np.tile(np.arange(n - 1, dtype=np.int32), len(rows)))
+            sizes += [n] * len(rows)
+        self.size_of, self.edits_of = np.array(sizes, np.int64), np.array([self.edits(n) for n in sizes], np.int64)
+        gram = np.concatenate([np.zeros(0, np.uint64), *grams])
+        of, pos = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (of, pos))
         order = np.argsort(gram, kind="stable")
-        self.gram, self.of = gram[order], of[order]
+        self.gram, self.of, self.pos = gram[order], of[order], pos[order]
         self.bits = max(16, int(np.ceil(np.log2(len(gram) * 16 + 1))))
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(gram >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -115,38 +116,35 @@ class Items:
             at = at[~np.isin(at, bounds[1:-1] - 1)]  # pairs of two documents
             lo, hi = np.searchsorted(self.gram, gram[at], "left"), np.searchsorted(self.gram, gram[at], "right")
             n_of = hi - lo
-            at, of = np.repeat(at, n_of), self.of[np.repeat(lo - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())]
-            order = np.argsort(of, kind="stable")
-            at, of = at[order], of[order]
-            for n in np.unique(of).tolist():
-                # each edit spoils two pairs at most: a window within reach shares this many with an item of its size
-                need = max(1, n - 1 - 2 * self.edits(n))
-                hit = at[np.searchsorted(of, n) : np.searchsorted(of, n, "right")]
-                if len(hit) < need or not (hit[need - 1 :] - hit[: len(hit) - need + 1] < n - 1).any():
-                    continue
-                e = self.edits(n)
-                total = np.zeros(len(h) + 1, np.int32)
-                np.add.at(total, hit + 1, 1)
-                total = np.cumsum(total, dtype=np.int32)
-                shared = total[np.minimum(np.arange(n + e - 1, len(h) + n + e - 1), len(h))] - total[:-1]
-                start = np.flatnonzero(shared >= need)
-                if not len(start):
-                    continue
-                # overlapping windows: of each half item's length of starts, the last one that shares the most
-                run = np.cumsum(np.diff(start, prepend=start[0]) > 1)
-                first_of = start[np.searchsorted(run, run)]
-                group = np.flatnonzero(np.diff(run * (len(h) + 1) + (start - first_of) // max(1, n // 2), prepend=-1))
-                most = np.repeat(np.maximum.reduceat(shared[start], group), np.diff(np.append(group, len(start))))
-                best = np.where(shared[start] == most, start, -1)
-                start = np.maximum.reduceat(best, group)
+            post = np.repeat(lo - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
+            at, of = np.repeat(at, n_of), self.of[post]
+            doc, diagonal = np.searchsorted(bounds, at, "right") - 1, at - self.pos[post]
+            order = np.lexsort((diagonal, doc, of))
+            of, doc, diagonal = of[order], doc[order], diagonal[order]
+            # each edit spoils two pairs at most and shifts the others by one: a stretch within reach shares this many
+            # pairs with its item, none of them more than e off the diagonal of its start
+            n, e = self.size_of[of], self.edits_of[of]
+            last = np.arange(len(of)) + np.maximum(1, n - 1 - 2 * e) - 1
+            met = np.flatnonzero(last < len(of))
+            to = last[met]
+            ok = (of[to] == of[met]) & (doc[to] == doc[met]) & (diagonal[to] - diagonal[met] <= 2 * e[met])
+            met, to = met[ok], to[ok]
+            begin = np.maximum(diagonal[to] - e[met], bounds[doc[met]])
+            spans = np.maximum(np.minimum(diagonal[met] + e[met], bounds[doc[met] + 1] - 1) - begin + 1, 0)
+            start = np.repeat(begin - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            starts, of = np.divmod(np.unique(start * len(self.size_of) + np.repeat(of[met], spans)), len(self.size_of))
+            for n in np.unique(self.size_of[of]).tolist():
+                e, mine = self.edits(n), self.size_of[of] == n
+                start, item = starts[mine], of[mine] - self.sizes[n][3]
                 doc = np.searchsorted(bounds, start, "right") - 1
-                for x in range(0, len(start), 4096):
-                    s, d = start[x : x + 4096], doc[x : x + 4096]
+                batch = max(16, MEET_WORDS // n)
+                for x in range(0, len(start), batch):
+                    s, d = start[x : x + batch], doc[x : x + batch]
                     lo, end = np.maximum(s - e, bounds[d]), np.minimum(s + n + e, bounds[d + 1])
                     stretch = h[np.minimum(lo[:, None] + np.arange(n + 2 * e), len(h) - 1)]
-                    held[n].append((stretch, end - lo, s - lo, d + first, lo - bounds[d]))
+                    held[n].append((stretch, end - lo, s - lo, d + first, lo - bounds[d], item[x : x + batch]))
                     count[n] += len(s)
-                    if count[n] >= 4096:
+                    if count[n] >= batch:
                         self._meet(found, n, held[n])
                         held[n], count[n] = [], 0
         for n, windows in held.items():
@@ -155,26 +153,23 @@ class Items:
         return found
 
     def _meet(self, found: list[dict], n: int, windows: list) -> None:
-        """Compare the windows with the items of their size that share a key in any repetition."""
-        ids, rows, tables, order = self.sizes[n]
-        stretch, size, lead, doc, start = (np.concatenate(x) for x in zip(*windows, strict=True))
-        win = np.take_along_axis(stretch, np.minimum(lead[:, None] + np.arange(n), stretch.shape[1] - 1), 1)
-        keys = sampled_keys(win, np.minimum(n, size - lead), n)
-        met = []
-        for r in range(REPEATS):
-            lo, hi = np.searchsorted(tables[r], keys[r], "left"), np.searchsorted(tables[r], keys[r], "right")
-            c = hi - lo
-            item = order[r][np.repeat(lo - np.cumsum(c) + c, c) + np.arange(c.sum())]
-            met.append(np.repeat(np.arange(len(win)), c) * len(ids) + item)
-        pairs = np.unique(np.concatenate(met))
-        for p in range(0, len(pairs), 2048):
-            w, i = np.divmod(pairs[p : p + 2048], len(ids))
+        """Compare each window with its item if they share a key in any repetition."""
+        ids, rows, item_keys, _ = self.sizes[n]
+        stretch, size, lead, doc, start, item = (np.concatenate(x) for x in zip(*windows, strict=True))
+        # a window stands once for each of its items, one after the other
+        new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(start + lead) != 0)))
+        win = np.take_along_axis(stretch[new], np.minimum(lead[new, None] + np.arange(n), stretch.shape[1] - 1), 1)
+        keys = sampled_keys(win, np.minimum(n, size - lead)[new], n)
+        met = np.flatnonzero((keys[:, np.cumsum(new) - 1] == item_keys[:, item]).any(0))
+        for p in range(0, len(met), 2048):
+            w = met[p : p + 2048]
+            i = item[w]
             far, end = edit_distance(rows[i], stretch[w], size[w])
             for x in np.flatnonzero(far <= self.edits(n)):
-                item, mine = ids[i[x]], found[doc[w[x]]]
+                name, mine = ids[i[x]], found[doc[w[x]]]
                 best = (int(far[x]), int(start[w[x]] + end[x]))
-                if item not in mine or best < mine[item]:
-                    mine[item] = best
+                if name not in mine or best < mine[name]:
+                    mine[name] = best
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_edits: float) -> Iterator[Items]:
@@ -201,9 +196,9 @@ def find_leaks(
     A document is contaminated by an item if some stretch of it is within max_edits x the item's words of it by
     word edit distance; the least distance is reported, and the word at which the (first) such stretch ends. Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased.
 
-    Item-sized windows that share too few word pairs with the items of their size to be within reach are passed over
-    before the walk; by the q-gram lemma that loses nothing. Of windows that overlap by half, the one that shares the most is
-    walked, and what it meets is compared exactly with the words around it. Items are broadcast in blocks of bounded size, documents are read in place:
+    Item-sized windows that share too few word pairs near their diagonal with an item to be within its reach are passed over
+    before the walk; by the q-gram lemma that loses nothing. Pairs are counted by document and item; every window left is
+    walked, and the items it meets are compared exactly with the words around it. Items are broadcast in blocks of bounded size, documents are read in place:
     no shuffle. Null and empty texts are clean; items that are null or have fewer than two words match
     nothing; each row of docs gives a row (with several blocks of items, rows that share a doc_id give one); other
     columns are ignored.

@@ -51,6 +51,26 @@ def test_search_agrees_with_brute_force():
     assert want >= 100 and missed <= 0.05 * want
 
 
+def test_edited_items_beside_items_of_their_size():
+    rng = random.Random(3)
+    for n in (20, 45):
+        items = [[f"w{rng.randrange(5000)}" for _ in range(n)] for _ in range(60)]
+        edited = []
+        for words in items:
+            v = list(words)
+            for p in rng.sample(range(n), n // 5):
+                v[p] = f"z{rng.randrange(999)}"
+            edited.append(v)
+        search = dc.Items(list(range(60)), [" ".join(x) for x in items], 0.2).search
+        between = search([" ".join(items[i - 1] + edited[i] + items[i - 2]) for i in range(60)])
+        behind = search([" ".join(x) for i in range(60) for x in (items[i - 1], edited[i], items[i - 2])])
+        for i in range(60):
+            assert best_distance(items[i], items[i - 1] + edited[i] + items[i - 2]) == n // 5
+        assert sum(f.get(i, (None,))[0] == n // 5 for i, f in enumerate(between)) >= 57
+        assert sum(f.get(i, (None,))[0] == n // 5 for i, f in enumerate(behind[1::3])) >= 57
+        assert all(set(f) == {(i - 1) % 60} for i, f in enumerate(behind[::3]))
+
+
 def test_walk_keeps_near_texts_near():
     rng = np.random.default_rng(1)
     a = rng.integers(1, 2**60, (200, 40)).astype(np.uint64)
