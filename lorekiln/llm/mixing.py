@@ -8,16 +8,18 @@ behind its weight.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 64
-PERIOD = 10_000  # weights are rounded to this many parts; the schedule repeats after as many slots
-MAX_SOURCES = 1000  # the sources beyond the largest ones share one weight
-MAX_PATTERN = 2_000_000  # entries of the broadcast schedule
+PERIOD = 10_000  # slots that a row of the schedule spans at most
+MAX_SOURCES = None  # every source has a weight of its own
 BUCKETS = 1024  # a source is counted in so many parts
 
 
@@ -38,44 +40,78 @@ def quotas(weights: np.ndarray, period: int) -> np.ndarray:
 
 def one_period(quota: np.ndarray) -> list[np.ndarray]:
     """The slots of each source in one period, by earliest deadline among released blocks."""
-    period = int(quota.sum())
-    released: list[list] = [[] for _ in range(period)]
-    for i, q in enumerate(quota.tolist()):
-        for j in range(q):
-            released[j * period // q].append((-(-(j + 1) * period // q), i))
-    slots: list[list[int]] = [[] for _ in quota]
-    due: list = []
-    for t in range(period):
-        for job in released[t]:
-            heapq.heappush(due, job)
-        slots[heapq.heappop(due)[1]].append(t)
-    return [np.array(s, np.int64) for s in slots]
+    owner = owners(quota + 1, quota)[: int(quota.sum())]  # no source ends within it
+    return [np.flatnonzero(owner == i) for i in range(len(quota))]
+
+
+def _whole(weights: np.ndarray) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    parts = [Fraction(w) for w in weights.tolist()]
+    scale = lcm(*(f.denominator for f in parts))
+    return [int(f * scale) for f in parts]
+
+
+def owners(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The source of each slot; all sources start anew, with their weights scaled up, when one has no blocks left.
+
+    Since a start the block j of weight w of S is released at floor(j S / w) and due at ceil((j + 1) S / w), in whole numbers.
+    Sources that have had no slot since the start wait in one list by weight, so a start costs the same for any number of them.
+    """
+    out = array("q")
+    for chosen, by in ((weights > 0, weights), (~(weights > 0), blocks)):
+        left = np.where(chosen, blocks, 0).tolist()
+        w = _whole(np.where(chosen, by, 0))
+        waiting = sorted((i for i, n in enumerate(left) if n), key=lambda i: (-w[i], i))
+        after = list(range(1, len(waiting) + 2))  # the next place of the list that may still have blocks
+        place = {i: at for at, i in enumerate(waiting)}
+        total, gone = sum(w[i] for i in waiting), [False] * (len(waiting) + 1)
+
+        def live(at: int) -> int:
+            seen = []
+            while at < len(waiting) and gone[at]:
+                seen.append(at)
+                at = after[at]
+            for x in seen:
+                after[x] = at
+            return at
+
+        while total:
+            t, head, released, due, had = 0, live(0), [], [], {}
+            while True:
+                while released and released[0][0] <= t:
+                    i = heapq.heappop(released)[1]
+                    heapq.heappush(due, (-(-(had[i] + 1) * total // w[i]), i))
+                fresh = waiting[head] if head < len(waiting) else None
+                if fresh is not None and (not due or (-(-total // w[fresh]), fresh) <= due[0]):
+                    i, head = fresh, live(head + 1)
+                else:
+                    i = heapq.heappop(due)[1]
+                out.append(i)
+                t += 1
+                had[i] = had.get(i, 0) + 1
+                left[i] -= 1
+                if not left[i]:
+                    gone[place[i]] = True
+                    total -= w[i]
+                    break
+                heapq.heappush(released, (had[i] * total // w[i], i))
+    return np.array(out, np.int64)
 
 
 def schedule(blocks: np.ndarray, weights: np.ndarray, period: int) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, quota, period, slots in a period) rows for all blocks of all sources.
+    """(source, first block, end block, first slot, blocks, period, slots from the first) rows for all blocks of all sources.
 
-    When a source has no blocks left, the others' weights are scaled up and the period starts anew; sources of weight
-    0 follow when only they are left, by their numbers of blocks.
+    When a source has no blocks left, the others' weights are scaled up; sources of weight 0 follow when only they are
+    left, by their numbers of blocks. A row spans a period at most, and the state is carried on from one to the next.
     """
-    left, done = blocks.astype(np.int64).copy(), np.zeros(len(blocks), np.int64)
-    slot, rows = 0, []
-    while left.any():
-        live = left > 0
-        w = np.where(live, weights, 0.0)
-        if not w.any():
-            w = left.astype(float)
-        q = quotas(w, max(period, int((w > 0).sum())))
-        size, pattern = int(q.sum()), one_period(q)
-        on = np.flatnonzero(q)
-        stop = min(int((left[i] - 1) // q[i] * size + pattern[i][(left[i] - 1) % q[i]]) + 1 for i in on)
-        for i in on:
-            n = int(stop // size * q[i] + np.searchsorted(pattern[i], stop % size))
-            if n:
-                rows.append((int(i), int(done[i]), int(done[i]) + n, slot, int(q[i]), size, pattern[i].tolist()))
-                done[i] += n
-                left[i] -= n
-        slot += stop
+    owner, done, rows = owners(blocks, weights), np.zeros(len(blocks), np.int64), []
+    for base in range(0, len(owner), period):
+        part = owner[base : base + period]
+        order = np.argsort(part, kind="stable")
+        for slots in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            i, n = int(part[slots[0]]), len(slots)
+            rows.append((i, int(done[i]), int(done[i]) + n, base + int(slots[0]), n, period, (slots - slots[0]).tolist()))
+            done[i] += n
     return rows
 
 
@@ -92,54 +128,51 @@ def mix_sources(
     position orders the mixture: slot x block_docs + the place in the block. Within a source documents go by hashed
     id, so a block is a random part of it. weights gives sources' targets; without it a source's weight is its number of
     documents to the power of the temperature, and sources that weights does not name come last. In every prefix of
-    slots in which the set of unfinished sources stays the same, each source is less than one block from its weight, rounded to
-    1 / PERIOD.
+    slots in which the set of unfinished sources stays the same, each source is less than one block from its exact weight.
 
     All rows are kept. A null source is a source. Rows with equal ids or null ids are kept and follow each other in an
-    order of their own. The MAX_SOURCES - 1 largest sources have weights of their own, all others share one. The
+    order of their own. Every source has a weight of its own; the driver holds a number for each source and block. The
     rank of a document in its source is the count of earlier hash buckets of the source, plus its rank within
     its bucket: no task sees a whole source. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[source_col]
+    named = [F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")]
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")
-    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    counts = packed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("source").agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES - 1).collect()
-    rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(r.n for r in top)
-    sizes = np.array([r.n for r in top] + [rest], np.int64)
-    blocks = -(-sizes // block_docs)
+    ).select("*", *named, F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket"))
+    keys = ["none", "name", "bucket"]
+    counts = packed.groupBy(*keys).agg(F.count("*").alias("n"), F.first("source").alias("source"))
+    totals = counts.groupBy("none", "name").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
+    every = totals.orderBy(F.desc("n"), F.desc("none"), "name").collect()
+    sizes = np.array([r.n for r in every], np.int64)
     if weights is None:
         target = sizes.astype(float) ** temperature
     else:
-        target = np.array([float(weights.get(r.source, 0.0)) for r in top] + [0.0])
-    live = max(1, int((blocks > 0).sum()))
-    rows = schedule(blocks, target, max(2 * live, min(PERIOD, MAX_PATTERN // live)))
-    plan = spark.createDataFrame(rows, "sid int, first long, end long, base long, quota long, size long, slots array<long>")
-    known = spark.createDataFrame([(r.source, i) for i, r in enumerate(top)], f"known {kind}, known_sid int")
-    named = lambda df: df.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("known")), "left").withColumn(
-        "sid", F.coalesce("known_sid", F.lit(len(top)))
-    ).drop("known", "known_sid")
-    parts = named(counts).groupBy("sid", "bucket").agg(F.sum("n").alias("n"))
-    before = parts.select(
-        "sid",
-        "bucket",
-        F.coalesce(F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        target = np.array([float(weights.get(r.source, 0.0)) for r in every])
+    rows = [(every[i].none, every[i]["name"], first, base, slots) for i, first, _, base, _, _, slots in schedule(-(-sizes // block_docs), target, PERIOD)]
+    plan = spark.createDataFrame(rows, "none boolean, name string, first long, base long, slots array<long>").select(
+        "none", "name", "first", "base", F.posexplode("slots").alias("j", "slot")
+    ).select("none", "name", (F.col("first") + F.col("j")).alias("block"), (F.col("base") + F.col("slot")).alias("slot"))
+    before = counts.select(
+        *keys,
+        "n",
+        F.coalesce(F.sum("n").over(Window.partitionBy("none", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    # the slots of each bucket's blocks go to its rows as one array: rows are dealt by bucket once
+    first, end = F.floor(F.col("before") / block_docs), F.floor((F.col("before") + F.col("n") - 1) / block_docs)
+    buckets = (
+        before.withColumn("block", F.explode(F.sequence(first, end)))
+        .join(plan, ["none", "name", "block"])
+        .groupBy(*keys, "before")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("slots"))
     )
     ranked = (
-        named(packed)
-        .join(before, ["sid", "bucket"])
-        .withColumn("at", F.row_number().over(Window.partitionBy("sid", "bucket").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) - 1 + F.col("before"))
+        packed.join(buckets, keys)
+        .withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) - 1 + F.col("before"))
         .withColumn("block", F.floor(F.col("at") / block_docs))
     )
-    placed = ranked.withColumnRenamed("sid", "my_sid").join(
-        F.broadcast(plan), (F.col("my_sid") == F.col("sid")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))
-    )
-    j = F.col("block") - F.col("first")
-    slot = F.col("base") + F.floor(j / F.col("quota")) * F.col("size") + F.expr("slots[int((block - first) % quota)]")
-    return placed.select("row", "doc_id", "source", "block", slot.alias("slot"), "at").select(
+    slot = F.expr(f"slots[int(block - floor(before / {block_docs}))].slot")
+    return ranked.select("row", "doc_id", "source", "block", slot.alias("slot"), "at").select(
         "row", "doc_id", "source", "block", "slot", (F.col("slot") * block_docs + F.col("at") % block_docs).alias("position")
     )
 

@@ -76,3 +76,20 @@ def test_small_sources_share_a_weight(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"s{min(i % 20, 9)}") for i in range(200)], "doc_id long, source string")
     rows = mixing.mix_sources(docs, block_docs=4).collect()
     assert len(rows) == 200 == len({r.position for r in rows})
+
+
+def test_every_source_keeps_its_exact_weight(spark):
+    # 1,200 sources, each with a given weight: more than were told apart; the named small ones come first
+    docs = spark.createDataFrame([(i, f"s{i % 1200}") for i in range(2400)] + [(-i, f"s{i}") for i in range(1100)], "doc_id long, source string")
+    rows = order(mixing.mix_sources(docs, weights={"s1150": 1, "s1199": 1}, block_docs=1).collect())
+    assert len(rows) == 3500 == len({r.position for r in rows})
+    assert Counter(r.source for r in rows[:4]) == {"s1150": 2, "s1199": 2}
+
+
+def test_long_schedules_do_not_drift():
+    # shares of 1.5 of 2,000 slots: rounded to whole parts of a period they drift with every period
+    weights = np.array([1.5] * 6 + [1991.0])
+    owner = mixing.owners(np.array([150] * 6 + [199_100]), weights)
+    for i, w in enumerate(weights):
+        lag = np.arange(1, len(owner) + 1) * w / weights.sum() - np.cumsum(owner == i)
+        assert (abs(lag[:190_000]) < 1).all()
