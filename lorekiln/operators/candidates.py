@@ -17,7 +17,7 @@ def containment(chunks: DataFrame, terms: DataFrame, chunk_key: str = "chunk_id"
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     t = terms.select("term", F.array_join(words(F.col("term")), " ").alias("run"), F.size(words(F.col("term"))).alias("n")).where("n > 0").distinct()
-    sizes = [r.n for r in t.select("n").distinct().orderBy("n").limit(64).collect()]
+    sizes = [r.n for r in t.select("n").distinct().orderBy("n").collect()]
     w = chunks.select(chunk_key, words(F.col("text")).alias("w"))
     none = F.array().cast("array<string>")
 

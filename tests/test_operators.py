@@ -86,3 +86,10 @@ def test_serving(spark):
     assert serve.language_candidates("zh-CN") == ["zh-cn", "zh", "en"]
     got = spark.range(1).select(serve.hidden_when_disputed(F.lit("value_disagreement"), F.lit("fallback_highest_rank"), F.lit(5)).alias("x")).first().x
     assert got is None
+
+
+def test_containment_takes_terms_of_any_number_of_lengths(spark):
+    terms = [" ".join(f"w{j}" for j in range(n)) for n in range(1, 71)]
+    chunks = spark.createDataFrame([("c", " ".join(f"w{j}" for j in range(70)))], "chunk_id string, text string")
+    got = candidates.containment(chunks, spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted(r.term for r in got.collect()) == sorted(terms)
