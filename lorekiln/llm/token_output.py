@@ -9,7 +9,6 @@ parts of a block can be decoded in parallel, and a checksum covers its ids.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.llm import textvec as tv
-from lorekiln.llm.store import cut, ensure_checkpoint_dir
+from lorekiln.llm.store import cut, shared_folder
 
 END_ID = 1
 SCALE = 20  # frequencies sum to 2 ** SCALE
@@ -194,8 +193,7 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
         state[: len(t)] = (q << np.uint64(SCALE)) + (s - q * f) + c
         if r and r % CHECKPOINT == 0:
             marks.append((count, state.tobytes()))
-    stream = np.concatenate([np.zeros(0, np.uint32), *(w[::-1] for w in words)])[::-1]  # from the first word to read
-    stream = np.concatenate([np.zeros(0, np.uint32), *words])[::-1]
+    stream = np.concatenate([np.zeros(0, np.uint32), *words])[::-1]  # from the first word to read
     head = MAGIC + struct.pack("<HIIII", lanes, n, len(marks), count, zlib.crc32(ids.astype("<u4").tobytes()))
     body = b"".join(struct.pack("<I", count - at) + s for at, s in reversed(marks))
     return head + body + state.tobytes() + stream.astype("<u4").tobytes()
@@ -344,12 +342,6 @@ def read_token_files(spark, out_dir: str, table: Table | None) -> DataFrame:
     return blocks.mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids array<int>")
 
 
-def shared_folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def tokens_written_and_read(docs: DataFrame, path: str, order: list[Column] | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of docs, read back from the files that hold its ids."""
     spark = docs.sparkSession
