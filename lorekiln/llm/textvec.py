@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII; A-Z count as a-z.
 IS_WORD = np.zeros(256, bool)
@@ -23,6 +23,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
 CHUNK = 1 << 20
+BATCH_BYTES = 8 << 20  # of an Arrow batch; a worker holds a few at once
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,6 +151,13 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches hold BATCH_BYTES at most, unless a smaller bound is set: texts differ in length by a lot."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "64m").rstrip("b").replace("k", "000").replace("m", "000000").replace("g", "000000000")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def over_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict[str, pa.Array]], schema: str) -> DataFrame:
     """df's columns keep, and what fn makes of each Arrow batch's texts: one value a row for each column of schema."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -160,5 +168,6 @@ def over_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict[str, pa
             made = fn(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [made[c] for c in names], names=[*keep, *names])
 
+    bound_batches(df.sparkSession)
     out = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ([schema] if schema else []))
     return df.select(*keep, "text").mapInArrow(run, out)
