@@ -12,67 +12,93 @@ from lorekiln.llm import ctw_lm as ctw
 def grams(texts, depth):
     out = Counter()
     for _, buf, bounds in ctw.framed(texts, depth):
-        coded = np.ones(len(buf), bool)
-        for i in range(depth):
-            coded[bounds[:-1] + i] = False
-        out.update(ctw.grams_of(buf, depth)[coded[depth:]].tolist())
+        out.update(ctw.grams_of(buf, depth)[ctw.coded(buf, bounds, depth)].tolist())
     return out
 
 
-def tree(texts, depth, keep=lambda c, d: True):
-    full, levels = grams(texts, depth), []
-    for d in range(depth + 1):
-        g = Counter()
-        for k, n in full.items():
-            g[k & ((1 << (8 * (d + 1))) - 1)] += n
-        total = Counter()
-        for k, n in g.items():
-            total[k >> 8] += n
-        kept = sorted((k, n) for k, n in g.items() if keep(total[k >> 8], d))
-        levels.append((np.array([k for k, _ in kept], np.uint64), np.array([n for _, n in kept])))
-    return ctw.ContextTree(levels)
+def bits_of(byte):
+    return [((1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1) for k in range(8)]
+
+
+class PlainTree:
+    """Context-tree weighting as its definition says, a node at a time."""
+
+    def __init__(self, texts, depth):
+        self.depth, self.counts, self.below = depth, defaultdict(lambda: [0, 0]), defaultdict(set)
+        for text in texts:
+            data = b"\n" * depth + (text or "").encode() + b"\xff"
+            for i in range(depth, len(data)):
+                for d in range(depth + 1):
+                    for code, bit in bits_of(data[i]):
+                        self.counts[data[i - d : i], code][bit] += 1
+                        if d < depth:
+                            self.below[data[i - d : i], code].add(data[i - d - 1 : i])
+        self.known: dict = {}
+
+    @staticmethod
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def weighted(self, ctx, code):
+        if (ctx, code) not in self.known:
+            own = self.kt(*self.counts.get((ctx, code), (0, 0)))
+            if len(ctx) < self.depth:
+                deep = sum(self.weighted(c, code) for c in self.below.get((ctx, code), ()))
+                own = max(own, deep) + math.log1p(math.exp(-abs(own - deep))) - math.log(2)
+            self.known[ctx, code] = own
+        return self.known[ctx, code]
+
+    def log10(self, text):
+        data, total = b"\n" * self.depth + (text or "").encode() + b"\xff", 0.0
+        for i in range(self.depth, len(data)):
+            for code, bit in bits_of(data[i]):
+                q = 0.5
+                for d in range(self.depth, -1, -1):
+                    ctx = data[i - d : i]
+                    n = self.counts.get((ctx, code), (0, 0))
+                    stop = 1.0 if d == self.depth else math.exp(self.kt(*n) - math.log(2) - self.weighted(ctx, code))
+                    q = stop * (n[bit] + 0.5) / (sum(n) + 1) + (1 - stop) * q
+                total += math.log10(q)
+        return total
+
+
+def scores(texts, known, depth):
+    """Score texts by a tree over known, with all of it weighed at once."""
+    train, every = grams(known, depth), grams([*known, *texts], depth)
+    key = np.array(sorted(every), np.uint64)
+    q, _ = ctw.subtree(key, np.array([train[k] for k in key.tolist()]), depth, 0)
+    value = dict(zip(key.tolist(), np.log10(q).sum(0), strict=True))
+    return [sum(value[k] * n for k, n in grams([t], depth).items()) for t in texts]
 
 
 def test_weighting_matches_a_plain_recursion():
-    text, depth = "abracadabra abra", 2
-    full = grams([text], depth)
-    counts = defaultdict(lambda: [0, 0])
-    contexts = set()
-    for g, n in full.items():
-        for d in range(depth + 1):
-            ctx = (g >> 8) & ((1 << (8 * d)) - 1)
-            contexts.add((d, ctx))
-            for k in range(8):
-                counts[d, ctx, (1 << k) | ((g & 255) >> (8 - k))][((g & 255) >> (7 - k)) & 1] += n
-    kt = lambda a, b: math.exp(math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1)) / math.pi
-
-    def weighted(d, ctx, node):
-        a, b = counts[d, ctx, node] if (d, ctx, node) in counts else (0, 0)
-        if d == depth:
-            return kt(a, b)
-        below = 1.0
-        for byte in range(256):
-            child = (byte << (8 * d)) | ctx
-            if (d + 1, child) in contexts and (d + 1, child, node) in counts:
-                below *= weighted(d + 1, child, node)
-        return 0.5 * kt(a, b) + 0.5 * below
-
-    model = tree([text], depth)
-    for d, ctx, node in list(counts):
-        level = model.nodes[d]
-        at = np.searchsorted(level.key, np.uint64((ctx << 8) | node))
-        a, b = counts[d, ctx, node]
-        share = 1.0 if d == depth else 0.5 * kt(a, b) / weighted(d, ctx, node)
-        assert level.stop[at] == pytest.approx(share, rel=2e-3)
-
-
-@pytest.mark.parametrize("least", [0, 3])
-def test_bytes_of_a_context_sum_to_one(least):
-    model = tree(["the cat sat on the mat", "the hat", ""], 3, lambda c, d: c >= least or d == 0)
-    for context in ("the", " ca", "zzz", "\n\n\n"):
-        base = int.from_bytes(context.encode(), "big") << 8
-        p = 10 ** model.score(np.array([base | b for b in range(256)], np.uint64))
-        assert p.sum() == pytest.approx(1.0, abs=1e-5)
+    known = ["abracadabra abra", "the cat sat on the mat", ""]
+    texts = [*known, "cat abra", "zzz", "ünï"]
+    for depth in (1, 2, 4):
+        plain = PlainTree(known, depth)
+        assert scores(texts, known, depth) == pytest.approx([plain.log10(t) for t in texts], rel=1e-9)
+
+
+def test_bytes_of_a_context_sum_to_one():
+    depth, known = 3, grams(["the cat sat on the mat", "the hat", ""], 3)
+    for context in (b"eht", b"ac ", b"zzz", b"\n\n\n"):  # the latest byte leads
+        base = int.from_bytes(context, "big") << 8
+        key = np.array(sorted({*known, *(base | b for b in range(256))}), np.uint64)
+        q, _ = ctw.subtree(key, np.array([known.get(k, 0) for k in key.tolist()]), depth, 0)
+        assert q.prod(0)[(key >= base) & (key < base + 256)].sum() == pytest.approx(1.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("split", [1, 2, 3])
+def test_table_of_grams_is_the_whole_tree(spark, monkeypatch, split):
+    monkeypatch.setattr(ctw, "TOGETHER", 40)
+    depth, known, more = 4, ["the cat sat on the mat and ate", "", "the hat"], ["cats hate rats"]
+    train, every = grams(known, depth), grams([*known, *more], depth)
+    key = np.array(sorted(every), np.uint64)
+    q, _ = ctw.subtree(key, np.array([train[k] for k in key.tolist()]), depth, 0)
+    rows = spark.createDataFrame([(k, train[k], every[k]) for k in every], "key long, n long, seen long")
+    got = {r.key: (r.value, r.seen) for r in ctw.gram_probabilities(rows, depth, split).collect()}
+    assert set(got) == set(every) and all(got[k][1] == every[k] for k in every)
+    assert [got[k][0] for k in key.tolist()] == pytest.approx(np.log10(q).sum(0).tolist(), rel=1e-5)
 
 
 def test_lookup_and_gamma():
@@ -86,12 +112,14 @@ def test_lookup_and_gamma():
     assert np.allclose(ctw._lgamma(x), [math.lgamma(v) for v in x])
 
 
-def test_tables_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot_grams", [0, 40, 1 << 20])
+def test_tables_match_brute_force(spark, monkeypatch, hot_grams):
     monkeypatch.setattr(ctw, "HOT_TOKENS", 5)
+    monkeypatch.setattr(ctw, "HOT_GRAMS", hot_grams)
     rows = [(i, f"The cat {i % 7} sat on\tthe mat number {i} again and again") for i in range(60)]
     rows += [(100, None), (101, ""), (None, "the cat"), (102, "ünïcode Ünïcode \x00 end"), (5, rows[5][1])]
     docs = spark.createDataFrame([(*r, 1, "c") for r in rows], "doc_id long, text string, n int, key string")
-    got = ctw.score_corpus(docs, depth=3, max_grams=60).collect()
+    got = ctw.score_corpus(docs, depth=3).collect()
     assert len(got) == len(rows)
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold)) + [None]
@@ -100,10 +128,12 @@ def test_tables_match_brute_force(spark, monkeypatch):
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), held(i), len(tokens(t)), sum(c[w] > 0 for w in tokens(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t in rows)
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    plain = PlainTree([t for i, t in rows if not held(i)], 3)
+    text_of = {(str(i), t): plain.log10(t) for i, t in rows}
+    assert sorted((str(r.doc_id), r.score) for r in got) == [(i, pytest.approx(s, rel=1e-5)) for i, s in sorted((str(i), text_of[str(i), t]) for i, t in rows)]
     by_id = {r.doc_id: r for r in got}
     assert by_id[100].score == by_id[101].score
-    assert by_id[7].bits_per_byte < 3 < by_id[102].bits_per_byte
+    assert by_id[7].bits_per_byte < min(3, by_id[102].bits_per_byte)
     untaught = [i for i, _ in rows if held(i)][0]
     lone = ctw.score_corpus(docs.where(f"doc_id = {untaught}")).collect()[0]
     assert lone.n_known == 0 and lone.train_tokens == 0 and lone.bits_per_byte > 7.9
