@@ -29,7 +29,7 @@ BLOCK_IDS = 1 << 20  # ids of a block; one longer document has a block of its ow
 LANES = 1024
 CHECKPOINT = 512  # rows of lanes between checkpoints
 MAGIC = b"RANS1\0"
-CACHE = 500_000  # pieces whose ids a worker remembers
+CACHE = 2_000_000  # pieces whose ids a worker remembers, at some 30 bytes each
 #: Kinds of bytes: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation without the apostrophe, 3 the rest.
 KIND = np.full(256, 3, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -42,38 +42,83 @@ _TOKENIZERS: dict = {}
 # ---------------------------------------------------------------- ids of texts
 
 
+class Pieces:
+    """Ids of pieces of text by their ascending hashes."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, where)."""
+        where = np.searchsorted(self.keys, keys)
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), where
+        where = np.minimum(where, len(self.keys) - 1)
+        return self.keys[where] == keys, where
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Add pieces whose (ascending) keys are not here yet."""
+        where, at = np.searchsorted(self.keys, keys), len(self.ids) + np.cumsum(size) - size
+        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids in turn) of some pieces."""
+        size = self.size[where].astype(np.int64)
+        total = np.cumsum(size)
+        spread = np.repeat(self.at[where] - total + size, size) + np.arange(total[-1] if len(total) else 0)
+        return size, self.ids[spread]
+
+
 class PieceCache:
     """Ids of texts by the tokenizers library, which sees each distinct piece of text once while it is remembered.
 
     A text's ids are those of its pieces in turn. Pieces end at white space, and between an ASCII letter or digit and ASCII
     punctuation other than the apostrophe: places where tokenizers that drop white space and split words from
-    punctuation always part too. ASCII capitals are folded, as those tokenizers fold them. Texts with "<|", which may
-    hold special tokens, go to the library whole. Pieces are told apart by 64-bit hashes.
+    punctuation always part too. ASCII capitals are folded, as those tokenizers fold them; a tokenizer that does neither is refused. Texts
+    with "<|", which may hold special tokens, go to the library whole. Pieces are told apart by 64-bit hashes. CACHE of them are
+    remembered: half of these are the latest ones, and when that half is full the other, older one is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces whose (sorted) keys are not known yet."""
-        sizes, found = [], []
-        for i in range(0, len(pieces), 4096):  # the library's own results are large
-            encoded = [e.ids for e in self.tokenizer.encode_batch(pieces[i : i + 4096], add_special_tokens=False)]
-            sizes.append(np.array([len(e) for e in encoded], np.int64))
-            found.append(np.fromiter((x for e in encoded for x in e), np.uint32, int(sizes[-1].sum())))
-        size, new = np.concatenate(sizes), np.concatenate(found)
-        at = len(self.ids) + np.cumsum(size) - size
-        where = np.searchsorted(self.keys, keys)
-        self.ids = np.concatenate([self.ids, new])
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        self.new, self.old = Pieces(), Pieces()
+        probe, parts = "Some words,(and more) of it: 12\n", ("some", "words", ",(", "and", "more", ")", "of", "it", ":", "12")
+        if self._whole(probe) != [i for p in parts for i in self._whole(p)]:
+            raise ValueError(f"{path} does not part words at white space and punctuation, or tells capitals apart")
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(size, ids in turn) of pieces: joined by blanks a few thousand at a time, and told apart by where the ids' characters stand."""
+        sizes, ids = [], []
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            length = np.array([len(p) for p in part])
+            starts = np.cumsum(length + 1) - length - 1
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            at = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            sizes.append(np.bincount(np.searchsorted(starts, at, "right") - 1, minlength=len(part)))
+            ids.append(np.array(got.ids, np.uint32))
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    def remember(self, key: np.ndarray, index: np.ndarray, text_of) -> None:
+        """Let the newer half know all of the (ascending) keys."""
+        fresh = np.flatnonzero(~self.new.find(key)[0])
+        if len(self.new.keys) + len(fresh) > CACHE // 2 and len(self.new.keys):
+            self.new, self.old = Pieces(), self.new
+            fresh = np.arange(len(key))
+        kept, where = self.old.find(key[fresh])
+        if kept.any():
+            self.new.add(key[fresh[kept]], *self.old.take(where[kept]))
+        fresh = fresh[~kept]
+        if len(fresh):
+            self.new.add(key[fresh], *self._encode([text_of(i) for i in index[fresh]]))
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -88,25 +133,14 @@ class PieceCache:
             run_ends = tv.runs(inside)[1]
             ends = np.minimum(stops, run_ends[np.searchsorted(run_ends, starts, "right")]) if len(starts) else stops[:0]
             key, index, back = np.unique(tv.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-            if len(self.keys) + len(key) > CACHE:
-                self.forget()
-            where = np.searchsorted(self.keys, key)
-            known = np.zeros(len(key), bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(where, len(self.keys) - 1)] == key
-            if not known.all():
-                raw, new = buf.tobytes(), np.flatnonzero(~known)
-                self.learn(key[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in index[new]])
-                where = np.searchsorted(self.keys, key)
-            size, at = self.size[where][back], self.at[where][back]
-            total = np.cumsum(size)
-            ids = self.ids[np.repeat(at - total + size, size) + np.arange(total[-1] if len(total) else 0)]
-            cut_at = np.concatenate(([0], total))[np.searchsorted(starts, offsets)]
+            raw = buf.tobytes()
+            self.remember(key, index, lambda i: raw[starts[i] : ends[i]].decode("utf-8", "replace"))  # noqa: B023
+            size, ids = self.new.take(self.new.find(key)[1][back])
+            cut_at = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(starts, offsets)]
             for d in range(end - first):
                 text = texts[first + d]
                 if isinstance(text, str) and "<|" in text:
-                    whole = tv.encode(text).decode()
-                    yield np.array(self.tokenizer.encode_batch([whole], add_special_tokens=False)[0].ids, np.uint32)
+                    yield np.array(self._whole(tv.encode(text).decode()), np.uint32)
                 else:
                     yield ids[cut_at[d] : cut_at[d + 1]]
 
@@ -246,17 +280,27 @@ def tokenize(docs: DataFrame, path: str, order: list[Column], id_col: str = "doc
     return cut(tv.over_texts(src, ["doc_id", *(f"o{i}" for i in range(len(by)))], lambda t: encode_texts(t, path), "n long, ids binary"))
 
 
+def _added(total: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    """Counts by id, with those of some more ids."""
+    more = np.bincount(np.concatenate([np.zeros(0, np.uint32), *ids]), minlength=len(total))
+    more[: len(total)] += total
+    return more
+
+
 def count_ids(tokens: DataFrame) -> Table | None:
     """The table of all ids' counts; its rows are as many as the vocabulary at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for data in batch.column("ids"):
-                one = np.bincount(unpack(data.as_py()))
-                if len(one) > len(total):
-                    total = np.concatenate((total, np.zeros(len(one) - len(total), np.int64)))
-                total[: len(one)] += one
+                held.append(unpack(data.as_py()))
+                size += len(held[-1])
+                if size >= BLOCK_IDS:
+                    total, held, size = _added(total, held), [], 0
+        total = _added(total, held)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "c"])
 
