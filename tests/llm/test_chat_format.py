@@ -10,20 +10,40 @@ SCHEMA = "conv_id long, turn long, role string, text string, seg int, part strin
 def test_viterbi_matches_enumeration():
     rng = np.random.default_rng(4)
     model = chat.Model({("move", 0, 1): 3.0, ("2", 1, 0): 5.0})
-    emit = rng.normal(size=(6, 3))
-    best = max(
-        itertools.product(range(3), repeat=6),
-        key=lambda s: model.first[s[0]] + sum(emit[t, s[t]] for t in range(6)) + sum(model.move[a, b] for a, b in zip(s, s[1:], strict=False)),
-    )
-    assert chat.viterbi(model, emit, None, None).tolist() == list(best)
+    sizes = [3, 6, 1, 4, 6]
+    emit, bounds, want = rng.normal(size=(sum(sizes), 3)), np.concatenate(([0], np.cumsum(sizes))), []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        want += max(
+            itertools.product(range(3), repeat=b - a),
+            key=lambda s: model.first[s[0]] + sum(emit[a + t, s[t]] for t in range(len(s))) + sum(model.move[x, y] for x, y in zip(s, s[1:], strict=False)),
+        )
+    free = np.full(len(sizes), -1)
+    assert chat.viterbi(model, emit, bounds, free, free).tolist() == want
 
 
-def test_markers():
-    assert chat.marker("User: hi") == (1, "hi") and chat.marker("### Assistant: yo") == (2, "yo")
-    assert chat.marker("<|im_start|>system") == (0, "") and chat.marker("**Human:** x")[0] == 1
-    assert chat.marker("Note: not a role") == (chat.UNKNOWN, "Note: not a role")
-    assert chat.lines_of("User: a\nb\nAI: c<|im_end|>") == [(1, "a\nb"), (2, "c")]
-    assert chat.lines_of(None) == [(chat.UNKNOWN, "")]
+def test_parts():
+    heads = lambda text: [(p[0], p[2]) for p in chat.parts_of(text)]
+    assert heads("User: hi") == [(1, "hi")] and heads("### Assistant: yo") == [(2, "yo")]
+    assert heads("<|im_start|>system\nbe kind") == [(0, "be kind")] and heads("**Human:** x") == [(1, "x")]
+    assert heads("Note: not a role") == [(chat.UNKNOWN, "Note: not a role")]
+    assert heads("User: a\nb\nAI: c<|im_end|>") == [(1, "a\nb"), (2, "c")]
+    assert heads("\n User: a\n[/INST] b") == [(1, "a"), (2, "b")]
+    assert heads("It runs.\nContext: the pump is old.") == [(chat.UNKNOWN, "It runs.\nContext: the pump is old.")]
+    assert heads("so\n<|user|> x\nA: y") == [(chat.UNKNOWN, "so"), (1, "x\nA: y")]
+    assert heads(None) == heads("") == [(chat.UNKNOWN, "")]
+    long = "word " * 200_000
+    assert heads(long) == [(chat.UNKNOWN, long.strip())]
+
+
+def test_named_roles_and_texts_stay(spark):
+    rows = [(i, j, ["user", "assistant"][j % 2], f"text {j}") for i in range(40) for j in range(6)]  # most take turns
+    rows += [(900, 0, "user", "a"), (900, 1, "user", "b"), (901, 0, "user", "a"), (901, 1, "assistant", "b"), (901, 2, "assistant", "c")]
+    rows += [(902, 1, "user", "hi"), (902, 2, "assistant", "It runs.\nContext: the pump is old."), (903, 0, "assistant", "User: said so"), (904, 0, "user", "x <|end|> y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.role, r.rendered) for r in chat.format_chats(df).collect()}
+    assert len(got) == len(rows) and all(got[i, j][0] == role for i, j, role, _ in rows)
+    assert "Context: the pump is old." in got[902, 2][1] and "User: said so" in got[903, 0][1]
+    assert got[904, 0][1] == "<|user|>\nx <\\|end|> y\n<|end|>\n"
 
 
 def test_roles_are_recovered_also_across_segments(spark, monkeypatch):
@@ -48,7 +68,9 @@ def test_named_roles_of_the_tables(spark):
 
     out = registry.op2_chat_formatting(spark, "/root/testdata/sf0.001").collect()
     assert all(r.role == r.named_role for r in out)
-    hidden = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").selectExpr("conv_id", "turn", "if(conv_id % 4 = 0, null, role) AS role", "text")
-    truth = {(r.conv_id, r.turn): r.role for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").collect()}
-    got = [(r.role, truth[r.conv_id, r.turn]) for r in chat.format_chats(hidden).collect() if r.conv_id % 4 == 0]
-    assert sum(a == b for a, b in got) > 0.75 * len(got)
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        turns = spark.read.parquet(f"/root/testdata/{sf}/conversations.parquet")
+        hidden = turns.selectExpr("conv_id", "turn", "if(conv_id % 4 = 0, null, role) AS role", "text")
+        truth = turns.where("conv_id % 4 = 0").selectExpr("conv_id", "turn", "role AS truth")
+        right, n = chat.format_chats(hidden).where("part = 0").join(truth, ["conv_id", "turn"]).selectExpr("sum(int(role = truth))", "count(*)").first()
+        assert right > 0.9 * n, (sf, right, n)
