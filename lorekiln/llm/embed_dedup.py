@@ -10,11 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.operators.components import components as connected_components
+from lorekiln.llm import textvec as tv
 from lorekiln.llm.store import cut
 
 MAX_CELLS = 4096  # bound of the broadcast centroids: MAX_CELLS x dimensions x 8 bytes
 FIT_ROWS = 8192  # bound of the sample that fits the centroids
 BLOCK = 1024  # rows of one side of a cosine product
+ONE_CELL = 32  # a label with fewer vectors has one cell
+FITTED = 16  # vector lengths that get centroids: those with the most vectors; others have one cell a label
+
+
+def unit_rows(vectors) -> np.ndarray:
+    """Rows of length 1 in double precision; each is first scaled by a power of two, which is exact, so that squares neither overflow nor vanish."""
+    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -44,7 +54,7 @@ def _spread(a: np.ndarray, n: int) -> np.ndarray:
 def embedding_dedup(
     vectors: DataFrame,
     threshold: float = 0.98,
-    cell_rows: int = 4096,
+    cells: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     label_col: str = "label",
@@ -53,34 +63,35 @@ def embedding_dedup(
 
     Vectors link if their labels are equal and not null and their cosine in double precision is at
     least the threshold. Equal vectors of a label are first counted as one. Centroids are fitted on
-    at most FIT_ROWS vectors (those with the smallest hash); every vector is indexed. A vector lives in its nearest
+    at most FIT_ROWS vectors (those with the smallest hash), a quarter of the square root of the largest label's vectors of them unless
+    `cells` says how many; every vector is indexed. A vector lives in its nearest
     cell and is a guest in each cell whose boundary plane is nearer than half the longest chord of a link:
     of a linked pair in two cells one at least is that near, so no link is missed. A cell of a label is
     cut in blocks of BLOCK rows that meet pairwise, so a hot cell spreads over tasks; a block pair gives link counts and
     a spanning forest, never its pairs.
 
-    Null, zero, or non-finite vectors, those that hold nulls and those with a null label link with nothing and are kept. Vectors of
+    Null, zero, or non-finite vectors, those that hold nulls and those with a null label link with nothing and are kept; vectors
+    of any finite size compare by direction. Vectors of
     another length than the most common one compare only among themselves by length. Rows that share a vec_id
-    are counted as copies of each other. An empty table gives an empty result.
+    are counted as copies of each other. Other columns are ignored; an empty table gives an empty result.
     """
-    src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
-    norm2 = F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")
-    sound = F.col("v").isNotNull() & F.col("label").isNotNull() & F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
-    usable = src.where(sound).where(norm2 > 0)
+    tv.bound_batches(vectors.sparkSession)
+    src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
+    sound = F.col("v").isNotNull() & F.col("label").isNotNull() & F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
+    usable = src.where(sound)
     classes = cut(
-        usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n_copies"))
-    ).withColumn("d", F.size("v"))
-    sizes = {(r.d, r.label): r.n for r in classes.groupBy("d", "label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(10_000).collect()}
-    most = max(sizes.values(), default=0)
-    k = int(min(MAX_CELLS, max(1, -(-most // cell_rows))))
-    dims = {d for d, _ in sizes}
+        usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n_copies")).withColumn("d", F.size("v"))
+    )
+    of_label = classes.groupBy("d", "label").agg(F.count("*").alias("n"))
+    lengths = of_label.groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy(F.desc("n"), "d").limit(FITTED).collect()
     fitted: dict[int, np.ndarray] = {}
-    for d in sorted(dims)[:16]:  # other lengths get one cell
-        rows = classes.where(F.col("d") == d).orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("v").collect() if k > 1 else []
-        if len(rows) > k:
-            x = np.array([r.v for r in rows])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            fitted[d] = spherical_kmeans(x, k)
+    for r in lengths:
+        k = min(MAX_CELLS, cells or int(np.ceil(np.sqrt(r.most) / 4)))
+        if r.most < ONE_CELL or k < 2:
+            continue
+        rows = classes.where(F.col("d") == r.d).orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("v").collect()
+        x = unit_rows([row.v for row in rows])
+        fitted[r.d] = spherical_kmeans(x, min(k, len(x)))
     half_chord = float(np.sqrt(max(0.0, 2 - 2 * threshold)) / 2) + 1e-9
     shared = src.sparkSession.sparkContext.broadcast(fitted)
 
@@ -89,10 +100,10 @@ def embedding_dedup(
             homes, guests = np.zeros(len(pdf), np.int32), [[] for _ in range(len(pdf))]
             for d, at in pdf.groupby("d").indices.items():
                 c = shared.value.get(d)
-                if c is None:
+                at = at[pdf["of_label"].to_numpy()[at] >= ONE_CELL]
+                if c is None or not len(at):
                     continue
-                x = np.stack(pdf["v"].to_numpy()[at])
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit_rows(pdf["v"].to_numpy()[at])
                 dots = x @ c.T
                 home = dots.argmax(1)
                 homes[at] = home
@@ -104,8 +115,9 @@ def embedding_dedup(
             yield pd.DataFrame({"label": pdf["label"], "d": pdf["d"], "rep": pdf["rep"], "n_copies": pdf["n_copies"], "v": pdf["v"], "home": homes, "guests": guests})
 
     kind = dict(src.dtypes)
-    placed = classes.select("label", "d", "rep", "n_copies", "v").mapInPandas(
-        place, f"label {kind['label']}, d int, rep {kind['vec_id']}, n_copies long, v array<double>, home int, guests array<int>"
+    several = of_label.where(F.col("n") >= ONE_CELL).select("d", "label", F.col("n").alias("of_label"))
+    placed = classes.join(several, ["d", "label"], "left").select("label", "d", "rep", "n_copies", "v", F.coalesce("of_label", F.lit(0)).alias("of_label")).mapInPandas(
+        place, f"label {kind['label']}, d int, rep {kind['vec_id']}, n_copies long, v {kind['v']}, home int, guests array<int>"
     )
     members = cut(placed.withColumn("cell", F.explode(F.concat(F.array("home"), "guests"))))
     counts = members.groupBy("label", "d", "cell").agg(F.count("*").alias("n"))
@@ -120,8 +132,7 @@ def embedding_dedup(
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, cell = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0]), int(pdf["cell"].iloc[0])
-        x = np.stack(pdf["v"].to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit_rows(pdf["v"])
         n, block, home = len(pdf), pdf["block"].to_numpy(), pdf["home"].to_numpy()
         link = x @ x.T >= threshold
         np.fill_diagonal(link, False)
@@ -151,7 +162,7 @@ def embedding_dedup(
         .select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "n_copies")
     )
     fine = usable.join(grouped, ["label", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_copies")
-    alone = src.where(~F.coalesce(sound & (norm2 > 0), F.lit(False))).select(
+    alone = src.where(~F.coalesce(sound, F.lit(False))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies")
     )
     return fine.unionByName(alone)
@@ -162,7 +173,9 @@ DEDUP_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v),
+m AS (SELECT vec_id, label, v, list_max(list_transform(v, lambda x: abs(x))) AS most FROM v),
+s AS (SELECT vec_id, label, list_transform(v, lambda x: x / pow(2.0, floor(log2(most)))) AS v FROM m WHERE most > 0),
+n AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM s),
 e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
 reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),

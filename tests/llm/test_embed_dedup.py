@@ -23,8 +23,8 @@ def brute(rows):
     return {rows[i][0]: (links[rows[i][0]], rows[low[i]][0]) for i in range(n)}
 
 
-@pytest.mark.parametrize(("cell_rows", "block"), [(10_000, 1024), (12, 5)])
-def test_matches_brute_force(spark, monkeypatch, cell_rows, block):
+@pytest.mark.parametrize(("cells", "block"), [(None, 1024), (1, 1024), (12, 5)])
+def test_matches_brute_force(spark, monkeypatch, cells, block):
     monkeypatch.setattr(ed, "BLOCK", block)
     rng = np.random.default_rng(5)
     rows = []
@@ -35,9 +35,27 @@ def test_matches_brute_force(spark, monkeypatch, cell_rows, block):
     rows += [(300, None, 0), (301, [0.0] * 6, 0), (302, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (303, [float("nan")] * 6, 0), (304, [1.0] * 6, None), (305, [2.0, 1.0], 0), (306, [4.0, 2.0], 0), (307, [float("inf")] * 6, 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
     as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in rows]
-    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.embedding_dedup(df, cell_rows=cell_rows).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.embedding_dedup(df, cells=cells).collect()}
     assert got == brute(as_float)
 
 
+def test_centroids_are_fitted_on_the_test_table(spark, monkeypatch):
+    from lorekiln.llm import registry
+
+    fitted = []
+    plain = ed.spherical_kmeans
+    monkeypatch.setattr(ed, "spherical_kmeans", lambda x, k: fitted.append(k) or plain(x, k))
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in registry.op9_embedding_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert fitted and min(fitted) > 1
+    assert got == brute([(r.vec_id, r.embedding, r.label) for r in table])
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(1, [2e200, 0.0], 0), (2, [1.0, 0.0], 0), (3, [5e-324, 0.0], 0), (4, [0.0, 1e-200], 0), (5, [0.0, 0.0], 0), (6, [1e308, 1e308], 1), (7, [1e-308, 1e-308], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
 def test_empty(spark):
     assert ed.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
