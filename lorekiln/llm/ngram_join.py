@@ -25,6 +25,7 @@ BANDS, ROWS = 32, 5  # a pair at 0.8 shares no band with probability (1 - 0.8 **
 SLICE = 32  # MinHash values compared between two looks at the posterior
 TOLERANCE = 1e-6
 BLOCK = 256  # rows of one side of a block of pairs
+SALTS = 64  # tasks that the members of a group of more than BLOCK rows are dealt over where they meet its size
 _RNG = np.random.default_rng(20150601)
 _XOR = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,6 +185,18 @@ def _verify(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
         yield pd.DataFrame({"rep": rep[some], "root": rep[low][some], "links": links[some]})
 
 
+def _sized(rows: DataFrame, group: str) -> DataFrame:
+    """rows(group, rep) with the size of their group if that is more than BLOCK, else BLOCK.
+
+    Large groups are one row in BLOCK at most; each stands SALTS times in the join, so that its members spread.
+    """
+    large = rows.groupBy(group).agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    salt = F.pmod(F.xxhash64("rep", F.lit(group)), F.lit(SALTS))
+    spread = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = rows.withColumn("salt", salt).join(spread, [group, "salt"], "left")
+    return met.withColumn("size", F.coalesce("size", F.lit(BLOCK))).drop("salt")
+
+
 def _dealt(rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
     """Rows of a group cut in blocks of BLOCK, each row copied to every pair of blocks that has its own; together by pair."""
     sized = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -234,8 +247,7 @@ def ngram_jaccard_join(
     meeting = in_band.join(crowded, "key").join(classes.select("rep", "sig"), "rep")
     candidates = _dealt(meeting, "key", ["sig"]).mapInPandas(lambda b: _survivors(b, least), f"src {kind}, dst {kind}")
     groups = cut(connected_components(candidates).withColumnRenamed("node", "rep"))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "component").join(classes.select("rep", "n"), "rep")
+    members = _sized(groups, "component").join(classes.select("rep", "n"), "rep")
     texts = src.join(members, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("component", "size", "rep", "n", "text")
     sets = tv.over_texts(texts, ["component", "size", "rep", "n"], lambda x: _shingle_sets(x, k), "sh binary")
     met = cut(
