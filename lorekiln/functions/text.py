@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def anchor(x: Column) -> Column:
 
 def shorten(x: Column, limit: int = 220) -> Column:
     s = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return F.when(F.length(s) > limit, F.concat(F.rtrim(F.substring(s, 1, limit - 3)), F.lit("..."))).otherwise(s)
+    return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 3), F.lit("..."))).otherwise(s)
 
 
 def language(x: Column) -> Column:
@@ -81,7 +83,9 @@ def first_match(x: Column, pattern: str, group: int = 0) -> Column:
 
 
 def has_any(x: Column, markers) -> Column:
-    return F.coalesce(F.reduce(F.array(*(F.contains(x, F.lit(m)) for m in markers)), F.lit(False), lambda a, b: a | b), F.lit(False))
+    """Whether the text contains a marker; an OR chain stops at the first."""
+    hits = [F.contains(x, F.lit(m)) for m in markers]
+    return F.coalesce(functools.reduce(lambda a, b: a | b, hits), F.lit(False)) if hits else F.lit(False)
 
 
 def first_category(x: Column, groups: dict[str, tuple[str, ...]], default: str) -> Column:

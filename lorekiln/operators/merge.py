@@ -48,7 +48,8 @@ def classify_conflict(facets: Column, same_name: Column) -> Column:
     known = lambda axis: F.array_distinct(F.filter(axis, lambda v: v.isNotNull()))
     split = F.exists(axes, lambda a: F.size(known(a)) > 1)
     partial = F.exists(axes, lambda a: (F.size(known(a)) == 1) & F.exists(a, lambda v: v.isNull()))
-    signal = F.exists(F.slice(axes, 2, 100), lambda a: F.size(known(a)) == 1)
+    meaning = F.filter(axes, lambda a, i: i > 0)
+    signal = F.exists(meaning, lambda a: F.size(known(a)) == 1)
     return (
         F.when(split, "over_merge").when(partial, "partial_conflict").when(signal | same_name, "value_disagreement").otherwise("material_conflict")
     )

@@ -29,15 +29,14 @@ def outline_ends(outline: DataFrame, last_page: str = "last_page") -> DataFrame:
     """An outline entry ends before the next entry of its depth or a higher one, found without looking at all pairs.
 
     Over the entries of a document from the last, the nearest later start of each depth up to one's own is a running minimum
-    by depth; depths are few (at most 9).
+    by depth, for as many depths as the outlines have.
     """
+    deepest = outline.agg(F.max("depth")).first()[0] or 1
     w = Window.partitionBy("doc_id").orderBy("start", "ord").rowsBetween(1, Window.unboundedFollowing)
-    nearest = [F.min(F.when(F.col("depth") <= d, F.col("start"))).over(w).alias(f"next{d}") for d in range(1, 10)]
-    own = F.lit(None)
-    for d in range(9, 0, -1):
-        own = F.when(F.col("depth") == d, F.col(f"next{d}")).otherwise(own)
-    ended = outline.select("*", *nearest).withColumn("page_end", F.coalesce(own - 1, F.col(last_page)))
-    return ended.drop(*(f"next{d}" for d in range(1, 10))).withColumn("page_end", F.greatest("page_end", "start"))
+    nearest = [F.min(F.when(F.col("depth") <= d, F.col("start"))).over(w) for d in range(1, deepest + 1)]
+    ended = outline.withColumn("nearest", F.array(*nearest))
+    own = F.get("nearest", F.greatest(F.col("depth"), F.lit(1)).cast("int") - 1)
+    return ended.withColumn("page_end", F.greatest(F.coalesce(own - 1, F.col(last_page)), F.col("start"))).drop("nearest")
 
 
 def pages_in_sections(pages: DataFrame, sections: DataFrame) -> DataFrame:

@@ -99,16 +99,13 @@ def hidden_when_disputed(state: Column, rule: Column, value: Column) -> Column:
 
 
 def related(objects: DataFrame, n: int = 4) -> DataFrame:
-    """Up to n other objects of each object's class: the ones that follow it in the class's order, which wraps around.
+    """Up to n other objects of each object's class: the first of the class's order that are not itself.
 
-    A ring over each class's order finds them by an equi-join on places, so no pair of a class is formed but those kept.
+    Only the first n + 1 objects of a class can be anyone's, so these alone meet its objects.
     """
-    w = Window.partitionBy("class_id")
-    ring = objects.select("class_id", "ko_id", F.row_number().over(w.orderBy("ko_id")).alias("at"), F.count("*").over(w).alias("size"))
-    want = ring.select("class_id", "ko_id", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("size") - 1))).alias("step"), "at", "size").where(
-        "size > 1"
-    )
-    there = ring.select("class_id", F.col("ko_id").alias("related_id"), F.col("at").alias("place"))
-    return want.withColumn("place", (F.col("at") + F.col("step") - 1) % F.col("size") + 1).join(there, ["class_id", "place"]).select(
-        "ko_id", "step", "related_id"
-    )
+    at = F.row_number().over(Window.partitionBy("class_id").orderBy("ko_id"))
+    heads = objects.select("class_id", "ko_id", at.alias("at")).where(F.col("at") <= n + 1)
+    heads = heads.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ko_id"))), lambda x: x["ko_id"]).alias("heads"))
+    mine = objects.select("class_id", "ko_id").join(heads, "class_id")
+    others = F.slice(F.filter("heads", lambda x: x != F.col("ko_id")), 1, n)
+    return mine.select("ko_id", F.posexplode(others).alias("pos", "related_id")).select("ko_id", (F.col("pos") + 1).alias("step"), "related_id")
