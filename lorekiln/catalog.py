@@ -719,3 +719,6 @@ def dotted_sections(spark, sf_dir):
     c = T.read(spark, sf_dir, "conversations").select("conv_id", F.concat("turn", F.lit("."), F.length("role")).alias("s"))
     pairs = F.array_sort(F.collect_list(F.struct(X.dotted_order(F.col("s")).alias("k"), "s")))
     return c.groupBy("conv_id").agg(F.array_join(F.transform(pairs, lambda x: x["s"]), ",").alias("ordered"))
+
+
+from lorekiln import catalog_knowledge  # noqa: E402, F401  (its queries join these)

@@ -158,3 +158,63 @@ def conflicts(objects: DataFrame) -> DataFrame:
         .where((F.col("name_a") < F.col("name_b")) | (F.col("value_a") < F.col("value_b")))
         .where(~V.numbers_agree(F.col("value_a"), F.col("value_b")))
     )
+
+
+def merge_with_existing(members: DataFrame, existing: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Where merged groups go among existing objects, as one plan over all classes.
+
+    members(class_id, key, name) are the groups' names, existing(class_id, ko_id, key, name) the objects there (ko_id a string, one
+    row a name), evidence(key, chunk_id, role) the groups' evidence. A name is the object's that had it last (the largest id); an
+    object goes to the first group, by key, that has one of its names. A group takes the smallest of its objects' ids and the others go; a group
+    without any takes over an unclaimed object of its own key, else it is new. A group that has an object removes an unclaimed one of its
+    key. Evidence is counted once a chunk and role. Returns class_id, key, ko_id, action, removed, n_evidence.
+    """
+    owner = existing.groupBy("class_id", "name").agg(F.max("ko_id").alias("ko_id"))
+    claims = members.distinct().join(owner, ["class_id", "name"]).groupBy("class_id", "ko_id").agg(F.min("key").alias("key"))
+    taken = claims.groupBy("class_id", "key").agg(F.array_sort(F.collect_set("ko_id")).alias("ids"))
+    free = existing.join(claims.select("class_id", "ko_id"), ["class_id", "ko_id"], "left_anti").groupBy("class_id", "key").agg(F.min("ko_id").alias("same_key"))
+    n = evidence.groupBy("key").agg(F.countDistinct("chunk_id", "role").alias("n_evidence"))
+    groups = members.select("class_id", "key").distinct().join(taken, ["class_id", "key"], "left").join(free, ["class_id", "key"], "left").join(n, "key", "left")
+    has = F.coalesce(F.size("ids"), F.lit(0))
+    target = F.coalesce(F.get("ids", F.lit(0)), "same_key", F.concat(F.lit("ko_"), F.substring(F.sha1("key"), 1, 16)))
+    action = F.when(has >= 2, "merged_existing").when(has == 1, "updated_existing").when(F.col("same_key").isNotNull(), "adopted_key").otherwise("new_merged")
+    rest = F.when(has > 0, F.concat(F.slice("ids", F.lit(2), F.greatest(has - 1, F.lit(0))), F.when(F.col("same_key").isNotNull(), F.array("same_key")).otherwise(F.array().cast("array<string>"))))
+    return groups.select(
+        "class_id", "key", target.alias("ko_id"), action.alias("action"), F.coalesce(F.array_join(F.array_sort(rest), ","), F.lit("")).alias("removed"),
+        F.coalesce("n_evidence", F.lit(0)).cast("long").alias("n_evidence"),
+    )
+
+
+def split_objects(evidence: DataFrame, order: list[str]) -> DataFrame:
+    """evidence(ko_id, part, ...) with the object it belongs to once objects are split by part: the part of the first evidence keeps the id."""
+    lead = evidence.groupBy("ko_id").agg(F.min_by("part", F.struct(*order)).alias("lead"))
+    fresh = F.concat(F.lit("ko_"), F.substring(F.sha1(F.concat_ws("::", F.col("ko_id").cast("string"), "part")), 1, 16))
+    return evidence.join(lead, "ko_id").withColumn("new_id", F.when(F.col("part").eqNullSafe(F.col("lead")), F.col("ko_id").cast("string")).otherwise(fresh)).drop("lead")
+
+
+def split_by_signature(rows: DataFrame, key: str, signature: Column, name: Column) -> DataFrame:
+    """rows whose group `key` has one signature only keep it; where there are several, each gets the key with the slug of its first name."""
+    from lorekiln.functions import text as X
+
+    signed = rows.withColumn("signature", signature).withColumn("_name", name)
+    firsts = signed.groupBy(key, "signature").agg(F.min("_name").alias("first_name"))
+    kinds = firsts.groupBy(key).agg(F.count("*").alias("kinds"))
+    refined = F.when(F.col("kinds") <= 1, F.col(key)).otherwise(F.concat(F.col(key), F.lit("_"), X.safe_slug(F.coalesce("first_name", "signature"))))
+    return signed.join(firsts, [key, "signature"]).join(kinds, key).withColumn("refined_key", refined).drop("first_name", "kinds", "_name")
+
+
+def renamed_groups(rows: DataFrame, group: str, raw_key: str, order: list[str]) -> DataFrame:
+    """Groups under the key that their first member prefers: a raw key that is no hash if there is one, else any; equal keys become one group."""
+    says = F.element_at(F.split(raw_key, ":"), -1)
+    hashed = F.startswith(says, F.lit("key_"))
+    best = rows.where(F.col(raw_key).isNotNull()).groupBy(group).agg(F.min_by(raw_key, F.struct(hashed.alias("h"), *order)).alias("preferred"))
+    return rows.join(best, group, "left").withColumn("final_key", F.coalesce("preferred", group)).drop("preferred")
+
+
+def kept_and_dropped(rows: DataFrame, links: DataFrame, components_of, key: str, order: list[Column]) -> DataFrame:
+    """Groups of linked rows: the one to keep, how many go and the reasons: links(src, dst, reason)."""
+    parts = components_of(links.select("src", "dst"))
+    reasons = links.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"))
+    members = rows.join(parts.withColumnRenamed("node", key), key)
+    groups = members.groupBy("component").agg(F.max_by(key, F.struct(*order)).alias("keep"), (F.count("*") - 1).alias("n_dropped"))
+    return groups.join(reasons, "component").select("component", "keep", "n_dropped", "reasons")

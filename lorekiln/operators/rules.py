@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.functions import text as X
+from lorekiln.functions import values as V
 
 #: Fixed values of the triage table.
 EXTENSIONS = ("pdf", "docx", "doc", "xlsx")
@@ -42,6 +43,34 @@ TASKS = {
     "replacement": ("replace", "更换"),
     "lubrication": ("lubricate", "润滑"),
 }
+COMMISSIONING = (
+    "commission", "startup", "start-up", "getting started", "backup settings", "upload settings", "调试", "启动", "设置备份", "上传变频器设置",
+)
+WIRING = (
+    "wiring", "terminal", "cable", "shield", "ground", "modbus", "bacnet", "rs485", "communication port", "接线", "端子", "屏蔽", "接地", "通讯",
+)
+DIAGNOSTIC = ("check", "inspect", "verify", "increase", "decrease", "vent", "排气", "检查", "确认")
+STRONG_MAINTENANCE = ("clean", "wash", "replace", "lubricate", "maintain", "regularly", "periodic", "清洗", "清洁", "更换", "润滑", "保养")
+CATEGORIES = {
+    "capacity": ("capacity", "cooling capacity", "heating capacity", "output", "rt", "kw", "能力", "制冷量"),
+    "efficiency": ("efficiency", "cop", "eer", "kw/rt", "效率"),
+    "temperature": ("temperature", "leaving temp", "approach", "°c", "c", "温度"),
+    "flow": ("flow", "water flow", "air flow", "m3/h", "l/s", "流量"),
+}
+TOPICS = {
+    "communication_wiring": ("modbus", "bacnet", "rs485"),
+    "shield_grounding": ("shield", "ground", "接地"),
+    "terminal_connection": ("terminal", "端子"),
+}
+#: Markers of the gates of the model lane.
+GATE_APPLICATION = (
+    "operate together", "same mode", "use for", "recommended for", "suitable for", "control applications", "control application", "sequence",
+    "运行模式", "适用", "应用", "用于",
+)
+GATE_MAINTENANCE = ("inspect", "calibrate", "preventive maintenance", "maintenance plan", "clean", "replace", "维护", "保养", "检查")
+GATE_DIAGNOSTIC = ("inspect", "check", "verify", "diagnose", "确认", "检查", "排查")
+GATE_SYMPTOM = ("symptom", "warning", "alarm", "trip", "故障", "报警", "症状")
+PREFIXED_VALUE = r"(?i)\b(?:cop|eer)\s*\d+(?:\.\d+)?\b"
 FAULT_CODE = r"(?i)\b([A-Z]\d[A-Z0-9]{1,6})\b"
 PARAMETER_CODE = r"(?i)\b(p\d{3,5})\b"
 NUMERIC_CODE = r"\b(\d{2,4})\b"
@@ -118,3 +147,63 @@ def text_quality(sampled: Column, with_text: Column, chars: Column) -> Column:
     return (
         F.when(sampled == 0, "unknown").when((share >= 0.8) & (chars >= 800), "good_text").when(with_text > 0, "partial_text").otherwise("low_or_no_text")
     )
+
+
+def detected(chunks: DataFrame, equipment: float = 1.0) -> DataFrame:
+    """Candidates of all eight detectors: chunks(chunk_id, text, kinds) → chunk_id, kind, key, confidence, one row a candidate.
+
+    kinds is the chunk's and page's type, lower-cased. Each detector is a condition with an array of keys, so a chunk is read once
+    and exploded once.
+    """
+    base = chunks.select("chunk_id", X.squeeze(F.col("text")).alias("t"), F.coalesce("kinds", F.lit("")).alias("kinds"), X.token_slug(F.col("text")).alias("slug"))
+    base = base.withColumn("both", F.concat_ws(" ", "t", "kinds"))  # computed once, for the conditions below read these many times
+    t, kinds, both, slug = (F.col(c) for c in ("t", "kinds", "both", "slug"))
+    under = lambda head: F.array(F.concat(head, F.lit("_"), slug))
+    task = X.first_category(t, TASKS, "maintenance")
+    procedure, diagnostic = X.has_any(both, MAINTENANCE), X.has_any(t, DIAGNOSTIC)
+    wiring = X.has_any(both, WIRING)
+    about = (
+        F.when(F.contains(t, F.lit("pump")) & F.contains(t, F.lit("fan")), "pump_fan")
+        .when(X.has_any(t, ("pump", "水泵")), "pump")
+        .when(X.has_any(t, ("fan", "风机")), "fan")
+        .when(X.has_any(t, ("flow", "流量")), "flow")
+        .otherwise("application")
+    )
+    letters = F.array_sort(F.array_distinct(F.transform(F.filter(F.regexp_extract_all(t, F.lit(FAULT_CODE), F.lit(1)), lambda c: ~F.startswith(F.lower(c), F.lit("p"))), F.upper)))
+    digits = F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(NUMERIC_CODE), F.lit(1))))
+    table = [
+        ("parameter_spec", X.has_any(both, PARAMETER), X.distinct_matches(t, PARAMETER_CODE), 0.8, 0.05),
+        ("performance_spec", ~X.has_any(kinds, ("maintenance", "fault", "alarm")) & X.has_any(both, PERFORMANCE), under(X.first_category(t, CATEGORIES, "performance")), 0.79, 0.04),
+        ("commissioning_step", X.has_any(both, COMMISSIONING) & ~wiring, F.array(slug), 0.78, 0.03),
+        ("wiring_guidance", wiring, under(X.first_category(t, TOPICS, "wiring")), 0.77, 0.03),
+        ("application_guidance", ~fault_context(t, kinds) & X.has_any(both, APPLICATION), under(about), 0.76, 0.03),
+        ("fault_code", fault_context(t, kinds), F.concat(letters, digits), 0.85, 0.04),
+        ("maintenance_procedure", procedure & ~(diagnostic & ~X.has_any(t, STRONG_MAINTENANCE)), under(task), 0.75, 0.03),
+        ("diagnostic_step", procedure & diagnostic, under(task), 0.74, 0.03),
+    ]
+    none = F.array().cast("array<struct<kind:string,key:string,confidence:double>>")
+
+    def candidates(kind: str, when: Column, keys: Column, base: float, more: float) -> Column:
+        score = V.candidate_confidence(base, more, F.lit(equipment)).cast("double").alias("confidence")
+        return F.when(when, F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), score))).otherwise(none)
+
+    found = [candidates(*row) for row in table]
+    return base.select("chunk_id", F.inline(F.concat(*found)))
+
+
+def gated_types(text: Column, kinds: Column) -> dict[str, Column]:
+    """Which types the model lane may look for in a chunk of normalised text and types."""
+    any_of = lambda *words: X.has_any(kinds, words)
+    return {
+        "parameter_spec": ~any_of("fault", "alarm", "maintenance", "commission", "wiring"),
+        "application_guidance": ~any_of("spec", "parameter", "fault", "maintenance", "commission", "wiring", "checklist")
+        & (any_of("guidance", "application", "sequence") | X.has_any(text, GATE_APPLICATION)),
+        "maintenance_procedure": ~any_of("fault", "parameter") & (any_of("maintenance", "procedure") | X.has_any(text, GATE_MAINTENANCE)),
+        "diagnostic_step": ~any_of("fault", "parameter") & X.has_any(text, GATE_DIAGNOSTIC),
+        "symptom": any_of("fault", "alarm", "symptom") | X.has_any(text, GATE_SYMPTOM),
+    }
+
+
+def section_confidence(matches: Column, span_pages: Column, chunks: Column) -> Column:
+    richness = matches + (span_pages >= 2).cast("int") + (chunks >= 3).cast("int")
+    return F.when(matches == 0, "none").when(richness >= 4, "high").when(richness >= 2, "medium").otherwise("low")

@@ -109,3 +109,40 @@ def related(objects: DataFrame, n: int = 4) -> DataFrame:
     mine = objects.select("class_id", "ko_id").join(heads, "class_id")
     others = F.slice(F.filter("heads", lambda x: x != F.col("ko_id")), 1, n)
     return mine.select("ko_id", F.posexplode(others).alias("pos", "related_id")).select("ko_id", (F.col("pos") + 1).alias("step"), "related_id")
+
+
+def object_filter(
+    *,
+    min_trust: str = "L4",
+    min_authority: str | None = None,
+    consensus: Sequence[str] | None = None,
+    min_confidence: float | None = None,
+    brand: Sequence[str] | None = None,
+    model_family: Sequence[str] | None = None,
+    fault_code: str | None = None,
+) -> Column:
+    """The predicate of the knowledge queries: every arm that is asked for holds; objects without brand or family fit all.
+
+    A fault code is the object's key or one of its fault_codes.
+    """
+    keep = V.least_trust(F.col("trust_level"), min_trust)
+    if min_authority is not None:
+        keep &= V.least_authority(F.col("highest_authority"), min_authority)
+    if consensus is not None:
+        keep &= F.col("consensus_state").isin(*consensus)
+    if min_confidence is not None:
+        keep &= F.coalesce("confidence", F.lit(0.0)) >= min_confidence
+    for column, wanted in (("brand", brand), ("model_family", model_family)):
+        if wanted is not None:
+            keep &= F.col(column).isNull() | F.col(column).isin(*wanted)
+    if fault_code is not None:
+        keep &= (F.col("canonical_key") == fault_code) | F.coalesce(F.array_contains("fault_codes", fault_code), F.lit(False))
+    return keep
+
+
+def pages_of_specs(rows: DataFrame, key: str, spec: str) -> DataFrame:
+    """key, kind, chunk, page_no of every page that a spec ("1,3-5:table:2") names, once each."""
+    parts = F.split(spec, ":")
+    spans = rows.select(key, F.get(parts, F.lit(1)).alias("kind"), F.get(parts, F.lit(2)).alias("chunk"), F.explode(F.split(F.get(parts, F.lit(0)), ",")).alias("span"))
+    ends = F.split(F.trim("span"), "-")
+    return spans.select(key, "kind", "chunk", F.explode(F.sequence(F.get(ends, F.lit(0)).cast("long"), F.element_at(ends, -1).cast("long"))).alias("page_no")).distinct()

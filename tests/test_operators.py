@@ -93,3 +93,52 @@ def test_containment_takes_terms_of_any_number_of_lengths(spark):
     chunks = spark.createDataFrame([("c", " ".join(f"w{j}" for j in range(70)))], "chunk_id string, text string")
     got = candidates.containment(chunks, spark.createDataFrame([(t,) for t in terms], "term string"))
     assert sorted(r.term for r in got.collect()) == sorted(terms)
+
+
+def test_component_groups_of_the_tables(spark):
+    """Union-find over the customers and suppliers that orders connect."""
+    import duckdb
+
+    from lorekiln import catalog
+
+    sf = "/root/testdata/sf0.001"
+    pairs = duckdb.sql(f"SELECT DISTINCT 'c' || o_custkey, 's' || l_suppkey FROM '{sf}/lineitem.parquet' JOIN '{sf}/orders.parquet' ON l_orderkey = o_orderkey").fetchall()
+    parent: dict = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    assert {(r.node, r.component) for r in catalog.queries()["component_groups"](spark, sf).collect()} == {(x, find(x)) for x in parent}
+
+
+def test_merge_with_existing_cases(spark):
+    from lorekiln.operators import merge
+
+    members = [("c", "g1", "a"), ("c", "g1", "b"), ("c", "g2", "b"), ("c", "g2", "d"), ("c", "g3", "x"), ("c", "g4", "y"), ("c", "g5", "e"), ("d", "g6", "a")]
+    existing = [("c", "k2", "old", "a"), ("c", "k1", "old2", "b"), ("c", "k3", "g9", "d"), ("c", "k4", "g3", "other"), ("c", "k5", "z", "e"), ("c", "k6", "g5", "else")]
+    ev = [("g1", "c1", "primary"), ("g1", "c1", "primary"), ("g1", "c1", "supporting")]
+    got = merge.merge_with_existing(
+        spark.createDataFrame(members, "class_id string, key string, name string"),
+        spark.createDataFrame(existing, "class_id string, ko_id string, key string, name string"),
+        spark.createDataFrame(ev, "key string, chunk_id string, role string"),
+    ).collect()
+    by = {r.key: (r.ko_id, r.action, r.removed, r.n_evidence) for r in got}
+    assert by["g1"] == ("k1", "merged_existing", "k2", 2)  # both names' objects: the smaller id stays
+    assert by["g2"] == ("k3", "updated_existing", "", 0)  # b's object went to g1
+    assert by["g3"] == ("k4", "adopted_key", "", 0)
+    assert by["g4"][1] == by["g6"][1] == "new_merged" and by["g4"][0].startswith("ko_")
+    assert by["g5"] == ("k5", "updated_existing", "k6", 0)  # another object has the group's key
+
+
+def test_outline_of_any_depth(spark):
+    from lorekiln.operators import sections
+
+    rows = [("d", i, i + 1, i + 1, 50) for i in range(14)] + [("d", 20, 30, 12, 50)]
+    df = spark.createDataFrame(rows, "doc_id string, ord int, start int, depth int, last_page int")
+    ends = {r.ord: r.page_end for r in sections.outline_ends(df).collect()}
+    assert ends[13] == 29 and ends[11] == 29 and ends[10] == 50 and ends[20] == 50
