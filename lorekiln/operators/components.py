@@ -59,4 +59,5 @@ def components(edges: DataFrame, max_rounds: int = 80) -> DataFrame:
         s = step.select(F.col("node").alias("root"), F.col("to"))
         out = out.join(s, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
     least = out.groupBy("root").agg(F.min("node").alias("component"))
-    return out.join(least, "root").select("node", "component")
+    # dealt anew by node: whoever reads this next would else find a large component in one task
+    return out.join(least, "root").select("node", "component").repartition("node")
