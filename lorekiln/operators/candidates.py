@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +51,46 @@ def context_window(rows: DataFrame, doc: str, order: list[str], radius: int = 1,
     return rows.withColumn(out, F.array_join(F.collect_list(text).over(w), "\n\n"))
 
 
-MAX_QUOTES = 2000  # quotes that one pass over the texts carries with it
+QUOTE_CHARS = 4 << 20  # characters of the quotes that one pass over the texts carries with it
 
 
-def _with_quotes(rows: DataFrame, quotes: DataFrame, holds) -> DataFrame:
-    """rows with each quote(quote_id, q) that `holds` finds in them; the quotes go along as one bounded array, in blocks if they are many."""
-    blocks = quotes.count() // MAX_QUOTES + 1
-    out = None
+def _found_quotes(rows: DataFrame, keep: list[str], columns: list[str], quotes: DataFrame, select) -> DataFrame:
+    """keep and quote_id of the quotes(quote_id, q) that `select` takes from the sets of quotes in each of the columns.
+
+    One automaton over a block of quotes reads each text once, however many quotes there are; blocks are bounded in characters, so
+    what the driver and the tasks hold of the quotes is too.
+    """
+    q = quotes.where("q <> ''")
+    blocks = (q.agg(F.coalesce(F.sum(F.length("q")), F.lit(0))).first()[0] // QUOTE_CHARS) + 1
+    kinds, out = dict(rows.dtypes) | {"quote_id": dict(quotes.dtypes)["quote_id"]}, None
+    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keep, "quote_id"])
     for b in range(blocks):
-        part = quotes.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("quote_id", "q")).alias("quotes"))
-        found = rows.join(F.broadcast(part)).withColumn("found", F.explode(F.filter("quotes", holds))).drop("quotes")
+        part = q.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == b).collect()
+        shared = rows.sparkSession.sparkContext.broadcast([(r.quote_id, r.q) for r in part])
+
+        def find(batches, shared=shared):
+            tree, ids = ahocorasick.Automaton(), {}
+            for quote_id, text in shared.value:
+                ids.setdefault(text, []).append(quote_id)
+            for text in ids:
+                tree.add_word(text, text)
+            tree.make_automaton()
+            inside = lambda text: {w for _, w in tree.iter(text)} if isinstance(text, str) and ids else set()
+            for pdf in batches:
+                hits = [(i, quote_id) for i, texts in enumerate(zip(*(pdf[c] for c in columns), strict=True)) for w in select(*map(inside, texts)) for quote_id in ids[w]]
+                at = [i for i, _ in hits]
+                yield pd.DataFrame({**{k: pdf[k].to_numpy()[at] for k in keep}, "quote_id": [x for _, x in hits]})
+
+        found = rows.select(*keep, *columns).mapInPandas(find, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def quotes_in(texts: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(quote_id, key) wherever a text holds a quote, both in normal form."""
-    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("q")).where("q <> ''")
+    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("q"))
     t = texts.select(key, X.anchor(F.col("text")).alias("t"))
-    return _with_quotes(t, q, lambda x: F.contains(F.col("t"), x["q"])).select("found.quote_id", key)
+    return _found_quotes(t, [key], ["t"], q, lambda t: t).select("quote_id", key)
 
 
 def quotes_across(chunks: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -75,12 +98,9 @@ def quotes_across(chunks: DataFrame, quotes: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     both = chunks.select("doc_id", "chunk_index", "text", F.lead("text").over(w).alias("next")).where("next IS NOT NULL")
     both = both.select("doc_id", "chunk_index", X.anchor(F.col("text")).alias("a"), X.anchor(F.col("next")).alias("b"))
-    both = both.withColumn("ab", F.concat("a", "b"))
-    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("q")).where("q <> ''")
-    found = _with_quotes(
-        both, q, lambda x: F.contains(F.col("ab"), x["q"]) & ~F.contains(F.col("a"), x["q"]) & ~F.contains(F.col("b"), x["q"])
-    )
-    return found.select("found.quote_id", "doc_id", "chunk_index")
+    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("q"))
+    whole = both.withColumn("ab", F.concat("a", "b"))
+    return _found_quotes(whole, ["doc_id", "chunk_index"], ["ab", "a", "b"], q, lambda ab, a, b: ab - a - b).select("quote_id", "doc_id", "chunk_index")
 
 
 def rule_candidates(chunks: DataFrame, pattern: str, kind: str, base: float, bonus: float, equipment: float = 1.0) -> DataFrame:

@@ -142,3 +142,32 @@ def test_outline_of_any_depth(spark):
     df = spark.createDataFrame(rows, "doc_id string, ord int, start int, depth int, last_page int")
     ends = {r.ord: r.page_end for r in sections.outline_ends(df).collect()}
     assert ends[13] == 29 and ends[11] == 29 and ends[10] == 50 and ends[20] == 50
+
+
+def test_fuzzy_pairs_find_all_pairs(spark):
+    """All pairs of the small table, by their definition."""
+    import difflib
+
+    from lorekiln import catalog
+
+    sf = "/root/testdata/sf0.001"
+    rows = {(r.p_type, r.p_name) for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    want = set()
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    opposed = lambda x, y: any((p in x and q in y) or (q in x and p in y) for p, q in dedupe.OPPOSED)
+    tail = lambda c, t: t.replace(" ", "_") + "_" + c.lower()
+    for c, t in rows:
+        for d, u in rows:
+            if c == d and t < u and not opposed(t, u):
+                why = "title" if ratio(t, u) >= 0.6 else "tail" if ratio(tail(c, t), tail(d, u)) >= 0.6 else None
+                if why:
+                    want.add((f"{c}/{t}", f"{d}/{u}", why))
+    got = {(r.a, r.b, r.reason) for r in catalog.queries()["fuzzy_pairs"](spark, sf).collect()}
+    assert want and got == want
+
+
+def test_numbers_of_titles(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("fc #1 low", "fc 2 low"), ("fc 1", "fc#1"), ("level 2", "none"), ("50 % open", "60% open")], "a string, b string")
+    assert [r[0] for r in df.select(dedupe.other_numbers(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]
