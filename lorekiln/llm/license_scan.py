@@ -83,11 +83,13 @@ def license_scan(
     The grams' hashes join and their words are compared too, so a hash collision gives no vote.
 
     Null and empty texts have no words and give zero counts, null places, empty labels and score 0.
-    Rows that share an id are taken as copies of one document. Other columns are ignored. One pass over the
+    Every row gives a row, also rows that share an id or have none; very long texts are as others, and equal coverages count once. Other
+    columns are ignored; an empty table gives an empty result. One pass over the
     texts, one broadcast join with the (bounded) templates; only votes and one row a document are shuffled.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = src.select(
+        "row",
         "doc_id",
         F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"),
     )
@@ -96,11 +98,12 @@ def license_scan(
     else:
         grams = F.expr(f"transform(slice(w, 1, size(w) - {k - 1}), (x, i) -> array_join(slice(w, i + 1, {k}), ' '))")
     grams = F.when(F.size("w") >= k, F.concat(F.array(F.lit("")), grams)).otherwise(F.array(F.lit("")))
-    rolled = words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(grams).alias("at", "gram"))
+    rolled = words.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.posexplode(grams).alias("at", "gram"))
     t = template_table(src.sparkSession, base, templates, k)
     votes = rolled.withColumn("gram_hash", F.xxhash64("gram")).join(F.broadcast(t), ["gram_hash", "gram"])
     pos = F.col("at").cast("long") - 1
     diagonals = votes.groupBy(
+        "row",
         "doc_id",
         "tid",
         F.when(F.col("tid") < 0, 0).otherwise(pos - F.col("tpos")).alias("diag"),
@@ -111,13 +114,13 @@ def license_scan(
         F.max("label").alias("label"),
         F.max("is_base").alias("is_base"),
     )
-    near = Window.partitionBy("doc_id", "tid").orderBy("diag")
+    near = Window.partitionBy("row", "doc_id", "tid").orderBy("diag")
     banded = diagonals.withColumn(
         "opens", F.when(F.col("diag") - F.lag("diag").over(near) <= band, 0).otherwise(1)
     ).withColumn("span", F.sum("opens").over(near))
     place = F.col("is_base") & (F.size("tpos") == F.col("tlen") - (k - 1))
     spans = (
-        banded.groupBy("doc_id", "tid", "span")
+        banded.groupBy("row", "doc_id", "tid", "span")
         .agg(
             F.max("n_words").alias("n_words"),
             F.max("tlen").alias("tlen"),
@@ -135,7 +138,7 @@ def license_scan(
     )
     label = F.when(F.when(F.col("is_base"), F.col("places") > 0).otherwise(F.col("coverage") >= min_coverage) & (F.col("tid") >= 0), F.col("label"))
     scored = spans.withColumn("found", label)
-    documents = scored.groupBy("doc_id").agg(
+    documents = scored.groupBy("row", "doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.sum("places").alias("n_base"),
         F.min("first_place").alias("first_word"),
@@ -143,7 +146,7 @@ def license_scan(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("is_base"), F.col("found")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("found")), ",").alias("labels"),
         F.max("coverage").alias("score"),
-    )
+    ).drop("row")
     verified = scored.where("found IS NOT NULL").select(
         "doc_id", F.col("found").alias("label"), "start_word", "end_word", "coverage"
     )
@@ -154,8 +157,8 @@ def license_sql(base=BASE_PHRASES, templates=TEMPLATES, band: int = 2, min_cover
     """license_scan's documents for k = 2, as DuckDB SQL over the view documents."""
     return f"""
 WITH t AS (SELECT * FROM (VALUES {_values(base, templates, 2)}) AS v(gram, tid, tpos, tlen, label, is_base) WHERE tid >= 0),
-w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
-n AS (SELECT doc_id, max(len(w)) AS n_words FROM w GROUP BY doc_id),
+w AS (SELECT row_number() OVER () AS doc_id, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM documents),
+n AS (SELECT doc_id, id, len(w) AS n_words FROM w),
 g AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w),
 hits AS (SELECT DISTINCT doc_id, tid, i - 1 - tpos AS diag, tpos, tlen, label, is_base FROM g JOIN t ON gram = w[i] || ' ' || w[i + 1]),
 d AS (SELECT doc_id, tid, diag, count(*) AS votes, tlen, label, is_base FROM hits GROUP BY ALL),
@@ -169,7 +172,7 @@ s AS (SELECT b.doc_id, b.tid, span, tlen, label, is_base, covered / tlen AS cove
   max(diag) FILTER (WHERE is_base AND votes = tlen - 1) AS last_place
   FROM b JOIN c USING (doc_id, tid, span) GROUP BY ALL),
 f AS (SELECT *, CASE WHEN (is_base AND places > 0) OR (NOT is_base AND coverage >= {min_coverage}) THEN label END AS found FROM s)
-SELECT n.doc_id, max(n_words)::BIGINT AS n_words, coalesce(sum(places), 0)::BIGINT AS n_base,
+SELECT any_value(id) AS doc_id, max(n_words)::BIGINT AS n_words, coalesce(sum(places), 0)::BIGINT AS n_base,
   min(first_place)::BIGINT AS first_word, max(last_place)::BIGINT AS last_word,
   coalesce(string_agg(DISTINCT CASE WHEN is_base THEN found END, ',' ORDER BY CASE WHEN is_base THEN found END), '') AS base_labels,
   coalesce(string_agg(DISTINCT found, ',' ORDER BY found), '') AS labels,

@@ -41,4 +41,7 @@ def test_repeats_nulls_and_empty_tables(spark):
     rows = [(1, "cc by"), (1, "cc by"), (None, "all rights reserved")]
     got = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
     assert got[1].n_base == 1 and got[None].base_labels == "reserved"
+    rows = [(1, "a"), (1, "cc by x"), (None, "a"), (None, "b c"), (None, "b c")]
+    each = license_scan(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_base) for r in each) == [("1", 1, 0), ("1", 3, 1), ("None", 1, 0), ("None", 2, 0), ("None", 2, 0)]
     assert license_scan(spark.createDataFrame([], "doc_id long, text string"))[0].count() == 0
