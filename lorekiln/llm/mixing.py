@@ -19,31 +19,10 @@ from pyspark.sql import functions as F
 
 BLOCK_DOCS = 64
 PERIOD = 10_000  # slots that a row of the schedule spans at most
-MAX_SOURCES = None  # every source has a weight of its own
+MAX_BLOCKS = 1 << 20  # about so many blocks are scheduled: more documents make larger blocks, so that the driver's schedule is bounded
 BUCKETS = 1024  # a source is counted in so many parts
 
 
-def quotas(weights: np.ndarray, period: int) -> np.ndarray:
-    """Whole parts of the period for each weight, 1 at least for a positive one, by largest remainders."""
-    share = weights / weights.sum() * period
-    out = np.where(weights > 0, np.maximum(1, np.floor(share)), 0).astype(np.int64)
-    over = int(out.sum()) - period
-    for i in np.argsort(-(share - out) if over < 0 else -out, kind="stable"):
-        if not over:
-            break
-        take = -1 if over < 0 else min(over, int(out[i]) - 1)
-        if weights[i] > 0:
-            out[i] -= take
-            over -= take
-    return out
-
-
-def one_period(quota: np.ndarray) -> list[np.ndarray]:
-    """The slots of each source in one period, by earliest deadline among released blocks."""
-    owner = owners(quota + 1, quota)[: int(quota.sum())]  # no source ends within it
-    return [np.flatnonzero(owner == i) for i in range(len(quota))]
-
-
 def _whole(weights: np.ndarray) -> list[int]:
     """Whole numbers in exactly the proportions of the weights."""
     parts = [Fraction(w) for w in weights.tolist()]
@@ -129,6 +108,7 @@ def mix_sources(
     id, so a block is a random part of it. weights gives sources' targets; without it a source's weight is its number of
     documents to the power of the temperature, and sources that weights does not name come last. In every prefix of
     slots in which the set of unfinished sources stays the same, each source is less than one block from its exact weight.
+    Blocks hold block_docs documents, or as many more as leave MAX_BLOCKS blocks and one for each source.
 
     All rows are kept. A null source is a source. Rows with equal ids or null ids are kept and follow each other in an
     order of their own. Every source has a weight of its own; the driver holds a number for each source and block. The
@@ -145,6 +125,7 @@ def mix_sources(
     totals = counts.groupBy("none", "name").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
     every = totals.orderBy(F.desc("n"), F.desc("none"), "name").collect()
     sizes = np.array([r.n for r in every], np.int64)
+    block_docs = max(block_docs, -(-int(sizes.sum()) // MAX_BLOCKS))
     if weights is None:
         target = sizes.astype(float) ** temperature
     else:
