@@ -22,6 +22,7 @@ MAX_EDITS = 0.2  # edited words, as a share of the item's
 SAMPLED, REPEATS = 2, 64  # neighbouring places of a walk are upset together: at 9 in 10 upset an item is still met with 0.998
 MIN_WORDS = 2
 ITEM_BLOCK_WORDS = 1_000_000  # bound of the items broadcast at once; a larger benchmark is scanned in blocks
+GATHERED = 32 << 20  # bytes of texts that are searched together, for their windows of one size are walked together
 MEET_WORDS = 1 << 17  # words of the windows that are walked at once
 _SEED = np.uint64(0xA24BAED4963EE407)
 
@@ -221,7 +222,7 @@ def find_leaks(
             }
 
         part = tv.over_texts(
-            src, ["doc_id"], scan, f"item_ids array<{kind}>, distances array<int>, end_words array<int>"
+            src, ["doc_id"], scan, f"item_ids array<{kind}>, distances array<int>, end_words array<int>", GATHERED
         )
         found = part if found is None else found.unionByName(part)
     names = ["item_ids", "distances", "end_words"]
@@ -232,12 +233,13 @@ def find_leaks(
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text_col: str = "text") -> DataFrame:
     """docs, with all their columns, without the contaminated rows; one pass over docs for each block of items."""
+    tv.bound_batches(docs.sparkSession)
     out = docs
     for items in item_blocks(benchmark, "item_id", "text", max_edits):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in tv.gathered(batches, GATHERED):
                 leaks = shared.value.search(batch.column(text_col).to_pylist())
                 yield batch.filter(pa.array([not f for f in leaks], pa.bool_()))
 

@@ -158,13 +158,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def over_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict[str, pa.Array]], schema: str) -> DataFrame:
-    """df's columns keep, and what fn makes of each Arrow batch's texts: one value a row for each column of schema."""
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of `size` bytes or a little more; the last may be smaller."""
+    held: list[pa.RecordBatch] = []
+    whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield from whole()
+            held = []
+    if held:
+        yield from whole()
+
+
+def over_texts(df: DataFrame, keep: list[str], fn: Callable[[list], dict[str, pa.Array]], schema: str, size: int = 0) -> DataFrame:
+    """df's columns keep, and what fn makes of each Arrow batch's texts (or `size` bytes of them): one value a row for each column of schema."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     names = [c.split()[0] for c in schema.split(", ")] if schema else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, size):
             made = fn(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [made[c] for c in names], names=[*keep, *names])
 
