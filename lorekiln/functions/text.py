@@ -163,3 +163,22 @@ def inputs_hash(names: Column, *rest: Column) -> Column:
 def dotted_order(x: Column) -> Column:
     """A key that orders dotted section numbers by their numbers."""
     return F.transform(F.split(x, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(0).cast("long")))
+
+
+def fault_number(x: Column) -> Column:
+    """The number of the first fault code such as FC #12, or null."""
+    return first_match(x, r"(?i)\bFC\s*#?\s*(\d+)\b", 1)
+
+
+#: Refrigerants and what names them, in the order in which they are tried.
+REFRIGERANTS = {
+    "r407c": ("r407c",), "r134a": ("r134a",), "r22": ("r22",), "r600a": ("refrigerant600a", "600a", "isobutane"),
+    "r732": ("refrigerant732", "oxygen"), "r740": ("refrigerant740", "argon"),
+}
+
+
+def refrigerant(x: Column) -> Column:
+    """The refrigerant that a text names, or null; hyphens and spaces do not matter."""
+    dense = F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), "[- ]", ""))
+    name = first_category(dense, REFRIGERANTS, "")
+    return F.when(name != "", name)

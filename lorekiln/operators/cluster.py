@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekiln.operators.components import components
+from lorekiln.operators.components import components, cut
 
 
 def cosine(a, b):
@@ -94,3 +94,27 @@ def split_by_facets(rows: DataFrame, cluster: str, axes: list[str]) -> DataFrame
             out = out.withColumn(f"f{i}", F.coalesce(value.cast("string"), F.lit("?")))
         keys.append(f"f{i}")
     return out.withColumn("facet_group", F.concat_ws("|", *keys)).drop(*keys[1:])
+
+
+def tightened(vectors: DataFrame, pairs: DataFrame, key: str, vector: str, least: float, max_size: int = 15, step: float = 0.05, last: float = 0.95) -> DataFrame:
+    """(key, cluster): clusters of complete linkage at `least`; one of more than `max_size` rows is linked anew, within itself, at a threshold
+    higher by `step`, until it is small or the threshold is `last` or more. pairs are those at `least`, with their similarity.
+
+    At most (last - least) / step + 1 rounds; the rows of small clusters leave after each.
+    """
+    done, rest, near, threshold = None, vectors, cut(pairs), least
+    while True:
+        found = cut(complete_linkage(rest, near.where(F.col("similarity") >= threshold), key, vector, threshold).toDF(key, "cluster"))
+        found = rest.select(key).join(found, key, "left").withColumn("cluster", F.coalesce("cluster", key))
+        sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
+        sized = found.join(sizes, "cluster")
+        final = threshold >= last
+        small = sized.select(key, "cluster") if final else sized.where(F.col("size") <= max_size).select(key, "cluster")
+        done = small if done is None else done.unionByName(small)
+        large = None if final else cut(sized.where(F.col("size") > max_size).select(key, "cluster"))
+        if large is None or large.isEmpty():
+            return done
+        a, b = large.toDF("a", "ca"), large.toDF("b", "cb")
+        near = near.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "similarity")
+        rest = rest.join(large.select(key), key, "left_semi")
+        threshold = round(threshold + step, 10)
