@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.llm import chat_format, ctw_lm, decontaminate, embed_dedup, license_scan, mixing, ngram_join, token_output, toxicity, url_filter
+from lorekiln.llm import chat_format, collocations, ctw_lm, decontaminate, embed_dedup, filter_audit, license_scan, mixing, ngram_join, packing, token_output, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,9 +64,28 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents").select("doc_id", "source")).drop("row")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_read(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_token_output, op9_embedding_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_benchmark_decontamination, op4_url_filter, op5_toxicity, op6_ngram_jaccard_join, op7_lm_scoring, op8_token_output, op9_embedding_dedup, op10_source_mixing,
+            op11_phrase_collocations, op12_best_fit_packing, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.license_sql(), "op4_url_filter": url_filter.url_sql(), "op9_embedding_dedup": embed_dedup.DEDUP_SQL}
+    return {
+        "op1_license_scan": license_scan.license_sql(),
+        "op4_url_filter": url_filter.url_sql(),
+        "op9_embedding_dedup": embed_dedup.DEDUP_SQL,
+        "op11_phrase_collocations": collocations.COLLOCATION_SQL,
+        "op13_filter_audit": filter_audit.AUDIT_SQL,
+    }
