@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.llm import textvec as tv
@@ -58,7 +58,7 @@ def _signatures(texts: list, k: int) -> dict[str, pa.Array]:
         if len(some):
             for f in range(BANDS * ROWS):
                 mins[f, some] = np.minimum.reduceat((sh ^ _XOR[f]) * _MUL[f], at[some])
-        sig = (mins >> np.uint64(56)).astype(np.uint8).T.copy()
+        sig = (tv.mix(mins) >> np.uint64(56)).astype(np.uint8).T.copy()  # mixed: of many shingles the minimum's own top byte is 0
         sigs += [row.tobytes() for row in sig]
         band = np.zeros((BANDS, n), np.uint64)
         for r in range(ROWS):
@@ -220,65 +220,98 @@ def ngram_jaccard_join(
 ) -> DataFrame:
     """doc_id, class_id, component_id, n_links, kept for every row of docs.
 
-    class_id is the smallest doc_id with the same set of k-word shingles, n_links the number of other documents whose
+    class_id is the smallest doc_id with the same set of k-word shingles, n_links the number of other rows whose
     Jaccard similarity with this one is at least the threshold, component_id the smallest doc_id reachable over
-    such links, kept whether that is this document. Words are runs of ASCII letters and digits and of characters
-    beyond ASCII, A-Z lower-cased; a text with fewer than k words has one shingle of all its words. Texts
-    without words are alike only if equal; null counts as the empty text. Rows that share a doc_id count as copies of each
-    other and each give a row. Other columns are ignored; an empty table gives an empty result.
+    such links, kept whether that is this row's doc_id. Words are runs of ASCII letters and digits and of characters
+    beyond ASCII, A-Z lower-cased; a text with fewer than k words has one shingle of all its words, texts of any length are whole. Texts
+    without words are alike only if equal; null counts as the empty text. Rows are told apart by themselves, not by their doc_id: rows that share a
+    doc_id and rows without one each give a row and are linked by their own texts; smallest ids are those of the rows that have one. Other
+    columns are ignored; an empty table gives an empty result.
 
     Documents with one shingle set are joined once, by their representative. Band buckets and candidate groups are
     cut into blocks of bounded size, so a hot one spreads over tasks, and a block gives counts and a spanning
     forest instead of its pairs. The bands miss a pair at the threshold with probability 3e-6.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = dict(src.dtypes)["doc_id"]
+    signed, found = _classes_and_components(docs, threshold, k, tolerance, id_col, text_col)
+    return (
+        signed.select("doc_id", "k1", "k2")
+        .join(found.drop("pick", "lowest"), ["k1", "k2"])
+        .select("doc_id", "class_id", "component_id", "n_links", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    )
+
+
+def _row_keys(doc_id: Column, text: Column) -> list[Column]:
+    """Two hashes that tell rows of other ids or texts apart."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(doc_id, text).alias("h1"), F.xxhash64(text, doc_id).alias("h2")]
+
+
+def _classes_and_components(docs: DataFrame, threshold: float, k: int, tolerance: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k1, k2, ... of every row; k1, k2, pick, class_id, component_id, lowest, n_links of every class).
+
+    pick is the class's first row by id and hash, with ids before rows without one; lowest the first pick of its component.
+    """
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("*", *_row_keys(F.col("doc_id"), F.col("text")))
     least = {n: least_matches(n, threshold, tolerance) for n in range(SLICE, BANDS * ROWS + 1, SLICE)}
     signed = cut(
-        tv.over_texts(src, ["doc_id"], lambda texts: _signatures(texts, k), "k1 long, k2 long, sig binary, bands array<long>")
+        tv.over_texts(src, ["doc_id", "h1", "h2"], lambda texts: _signatures(texts, k), "k1 long, k2 long, sig binary, bands array<long>")
     )
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h1", "h2"))
     classes = cut(
-        signed.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
-        )
+        signed.groupBy("k1", "k2")
+        .agg(pick.alias("pick"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     in_band = classes.select("rep", F.explode("bands").alias("key"))
     crowded = in_band.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     meeting = in_band.join(crowded, "key").join(classes.select("rep", "sig"), "rep")
-    candidates = _dealt(meeting, "key", ["sig"]).mapInPandas(lambda b: _survivors(b, least), f"src {kind}, dst {kind}")
+    candidates = _dealt(meeting, "key", ["sig"]).mapInPandas(lambda b: _survivors(b, least), "src long, dst long")
     groups = cut(connected_components(candidates).withColumnRenamed("node", "rep"))
-    members = _sized(groups, "component").join(classes.select("rep", "n"), "rep")
-    texts = src.join(members, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"]).select("component", "size", "rep", "n", "text")
+    members = _sized(groups, "component").join(classes.select("rep", "n", "pick.h1", "pick.h2"), "rep")
+    texts = src.select("h1", "h2", "text").join(members, ["h1", "h2"]).dropDuplicates(["rep"]).select("component", "size", "rep", "n", "text")
     sets = tv.over_texts(texts, ["component", "size", "rep", "n"], lambda x: _shingle_sets(x, k), "sh binary")
     met = cut(
-        _dealt(sets, "component", ["n", "sh"]).mapInPandas(lambda b: _verify(b, threshold), f"rep {kind}, root {kind}, links long")
+        _dealt(sets, "component", ["n", "sh"]).mapInPandas(lambda b: _verify(b, threshold), "rep long, root long, links long")
     )
-    parts = connected_components(met.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    parts = connected_components(met.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
+    first = parts.join(classes.select("rep", "pick"), "rep").groupBy("component").agg(F.min("pick").alias("lowest"))
     links = met.groupBy("rep").agg(F.sum("links").alias("others"))
+    lowest = parts.join(first, "component").select("rep", "lowest")
     found = (
-        classes.select("k1", "k2", "rep", "n")
+        classes.select("k1", "k2", "rep", "n", "pick")
         .join(links, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(lowest, "rep", "left")
+        .withColumn("lowest", F.coalesce("lowest", "pick"))
         .select(
             "k1",
             "k2",
-            F.col("rep").alias("class_id"),
-            F.coalesce("component", "rep").alias("component_id"),
+            "pick",
+            "lowest",
+            F.col("pick.doc_id").alias("class_id"),
+            F.col("lowest.doc_id").alias("component_id"),
             (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         )
     )
-    return (
-        signed.select("doc_id", "k1", "k2")
-        .join(found, ["k1", "k2"])
-        .select("doc_id", "class_id", "component_id", "n_links", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    return signed, found
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that have a smaller near-duplicate: one of each group stays, once.
+def keep_one_of_each(
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    k: int = K_WORDS,
+    tolerance: float = TOLERANCE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """docs, with all their columns, without the rows that have a near-duplicate before them: one row of each group stays.
 
-    Rows whose doc_id is null are never dropped.
+    That is the row with the group's smallest doc_id; of rows that share it, one text, and of rows that repeat, one. Rows of other texts
+    stay though their ids repeat. Rows whose doc_id is null are never dropped. Null counts as the empty text; texts of any length
+    are whole; an empty table gives an empty result.
     """
-    kept = ngram_jaccard_join(docs, **options).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    _, found = _classes_and_components(docs, threshold, k, tolerance, id_col, text_col)
+    keys = found.where(F.col("pick") == F.col("lowest")).select("lowest.h1", "lowest.h2").toDF("_h1", "_h2")
+    h1, h2 = _row_keys(F.col(id_col), F.col(text_col))
+    known = docs.where(F.col(id_col).isNotNull()).withColumns({"_h1": h1, "_h2": h2})
+    known = known.join(keys, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")
+    return known.unionByName(docs.where(F.col(id_col).isNull()))

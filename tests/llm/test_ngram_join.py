@@ -63,6 +63,34 @@ def test_one_of_each_stays_and_edge_cases(spark):
     assert nj.keep_one_of_each(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_or_none_are_linked_by_their_own_texts(spark):
+    rng = random.Random(5)
+    long = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(4)]
+    near = lambda t: t.replace(t.split()[30], "zz", 1)
+    rows = [(2, long[0]), (2, long[1]), (3, near(long[1])), (None, long[2]), (7, near(long[2])), (None, long[3]), (4, long[0]), (2, long[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_links, str(r.component_id)) for r in nj.ngram_jaccard_join(df, threshold=0.7).collect())
+    assert got == sorted([("2", 2, "2"), ("2", 1, "2"), ("3", 1, "2"), ("None", 1, "7"), ("7", 1, "7"), ("None", 0, "None"), ("4", 2, "2"), ("2", 2, "2")])
+    kept = [(r.doc_id, r.text) for r in nj.keep_one_of_each(df, threshold=0.7).collect()]
+    assert sorted(kept, key=str) == sorted([(2, long[0]), (2, long[1]), (None, long[2]), (7, near(long[2])), (None, long[3])], key=str)
+
+
+@pytest.mark.parametrize("words", [30, 300, 3000])
+def test_bytes_of_unrelated_texts_agree_by_chance_only_and_pairs_at_0_4_are_pruned(words):
+    rng = random.Random(words)
+    sig = lambda texts: [list(b) for b in nj._signatures(texts, 5)["sig"].to_pylist()]
+    apart = sig([" ".join(f"w{rng.randrange(10**7)}" for _ in range(words)) for _ in range(20)])
+    same = [sum(x == y for x, y in zip(a, b, strict=True)) / 160 for a, b in itertools.combinations(apart, 2)]
+    assert sum(same) / len(same) < 0.01
+    least, pruned = nj.least_matches(160, nj.THRESHOLD, nj.TOLERANCE), 0
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(words)]
+        other = base[: int(words * 0.57)] + [f"x{rng.randrange(10**7)}" for _ in range(words - int(words * 0.57))]  # Jaccard of some 0.4
+        a, b = sig([" ".join(base), " ".join(other)])
+        pruned += sum(x == y for x, y in zip(a, b, strict=True)) < least
+    assert pruned >= 18
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     least = nj.least_matches(160, 0.8, 1e-6)
     assert 80 < least < 128  # far below the 128 expected matches of a pair at 0.8
