@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekiln.llm import textvec as tv
+from lorekiln.llm.store import cut
 
 MAX_EDITS = 0.2  # edited words, as a share of the item's
 SAMPLED, REPEATS = 2, 64  # neighbouring places of a walk are upset together: at 9 in 10 upset an item is still met with 0.998
@@ -173,11 +174,18 @@ class Items:
                     mine[name] = best
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_edits: float) -> Iterator[Items]:
-    """The benchmark in blocks of about ITEM_BLOCK_WORDS words at most, each fetched when it is scanned."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, text) of the items that can be met, and the number of blocks of about ITEM_BLOCK_WORDS words at most."""
     items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(size // (4 * ITEM_BLOCK_WORDS)) + 1
+    return items, int(size // (4 * ITEM_BLOCK_WORDS)) + 1
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_edits: float) -> Iterator[Items]:
+    """The benchmark in blocks, each fetched when it is scanned."""
+    if max_edits >= 0.5:
+        raise ValueError("an item of which half the words may be edited need not share a word pair with its like: max_edits must be below 0.5")
+    items, blocks = _blocks(benchmark, id_col, text_col)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
         yield Items([r.id for r in rows], [r.text for r in rows], max_edits)
@@ -200,16 +208,19 @@ def find_leaks(
     Item-sized windows that share too few word pairs near their diagonal with an item to be within its reach are passed over
     before the walk; by the q-gram lemma that loses nothing. Pairs are counted by document and item; every window left is
     walked, and the items it meets are compared exactly with the words around it. Items are broadcast in blocks of bounded size, documents are read in place:
-    no shuffle. Null and empty texts are clean; items that are null or have fewer than two words match
-    nothing; each row of docs gives a row (with several blocks of items, rows that share a doc_id give one); other
-    columns are ignored.
+    no shuffle; where there are several blocks, the rows are numbered and written to the shared folder first. Null and empty texts are clean, texts of any length
+    are searched whole; items that are null or have fewer than two words match nothing; each row of docs gives a row, also where ids repeat
+    or are null; other columns are ignored; an empty table gives an empty result, and no items make no row contaminated. max_edits of 0.5 or more raise ValueError.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    several = _blocks(benchmark, item_col, item_text_col)[1] > 1
+    if several:
+        src = cut(src.withColumn("number", F.monotonically_increasing_id()))
+    keep = ["doc_id", "number"] if several else ["doc_id"]
     kind = dict(benchmark.dtypes)[item_col]
     item_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    found, blocks = None, 0
+    found = None
     for items in item_blocks(benchmark, item_col, item_text_col, max_edits):
-        blocks += 1
         shared = src.sparkSession.sparkContext.broadcast(items)
 
         def scan(texts: list, shared=shared) -> dict[str, pa.Array]:
@@ -222,17 +233,20 @@ def find_leaks(
             }
 
         part = tv.over_texts(
-            src, ["doc_id"], scan, f"item_ids array<{kind}>, distances array<int>, end_words array<int>", GATHERED
+            src, keep, scan, f"item_ids array<{kind}>, distances array<int>, end_words array<int>", GATHERED
         )
         found = part if found is None else found.unionByName(part)
     names = ["item_ids", "distances", "end_words"]
-    if blocks > 1:
-        found = found.groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in names))
+    if several:  # a row for each block of items
+        found = found.groupBy("number").agg(F.first("doc_id").alias("doc_id"), *(F.flatten(F.collect_list(c)).alias(c) for c in names))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), *names)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, without the contaminated rows; one pass over docs for each block of items."""
+    """docs, with all their columns, without the contaminated rows; one pass over docs for each block of items.
+
+    Rows are judged by their own texts whatever their ids; null texts stay.
+    """
     tv.bound_batches(docs.sparkSession)
     out = docs
     for items in item_blocks(benchmark, "item_id", "text", max_edits):

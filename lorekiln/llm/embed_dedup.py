@@ -72,15 +72,15 @@ def embedding_dedup(
 
     Null, zero, or non-finite vectors, those that hold nulls and those with a null label link with nothing and are kept; vectors
     of any finite size compare by direction. Vectors of
-    another length than the most common one compare only among themselves by length. Rows that share a vec_id
-    are counted as copies of each other. Other columns are ignored; an empty table gives an empty result.
+    another length than the most common one compare only among themselves by length. Rows are linked by their vectors, not by their ids: rows that
+    share a vec_id or have none are vectors of their own, and component_id is the smallest vec_id that any vector of the component has. Other columns are ignored; an empty table gives an empty result.
     """
     tv.bound_batches(vectors.sparkSession)
     src = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     sound = F.col("v").isNotNull() & F.col("label").isNotNull() & F.expr("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     usable = src.where(sound)
     classes = cut(
-        usable.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n_copies")).withColumn("d", F.size("v"))
+        usable.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n_copies")).withColumns({"d": F.size("v"), "rep": F.monotonically_increasing_id()})
     )
     of_label = classes.groupBy("d", "label").agg(F.count("*").alias("n"))
     lengths = of_label.groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most")).orderBy(F.desc("n"), "d").limit(FITTED).collect()
@@ -89,7 +89,7 @@ def embedding_dedup(
         k = min(MAX_CELLS, cells or int(np.ceil(np.sqrt(r.most) / 4)))
         if r.most < ONE_CELL or k < 2:
             continue
-        rows = classes.where(F.col("d") == r.d).orderBy(F.xxhash64("rep")).limit(FIT_ROWS).select("v").collect()
+        rows = classes.where(F.col("d") == r.d).orderBy(F.xxhash64("v"), "rep").limit(FIT_ROWS).select("v").collect()
         x = unit_rows([row.v for row in rows])
         fitted[r.d] = spherical_kmeans(x, min(k, len(x)))
     half_chord = float(np.sqrt(max(0.0, 2 - 2 * threshold)) / 2) + 1e-9
@@ -117,7 +117,7 @@ def embedding_dedup(
     kind = dict(src.dtypes)
     several = of_label.where(F.col("n") >= ONE_CELL).select("d", "label", F.col("n").alias("of_label"))
     placed = classes.join(several, ["d", "label"], "left").select("label", "d", "rep", "n_copies", "v", F.coalesce("of_label", F.lit(0)).alias("of_label")).mapInPandas(
-        place, f"label {kind['label']}, d int, rep {kind['vec_id']}, n_copies long, v {kind['v']}, home int, guests array<int>"
+        place, f"label {kind['label']}, d int, rep long, n_copies long, v {kind['v']}, home int, guests array<int>"
     )
     members = cut(placed.withColumn("cell", F.explode(F.concat(F.array("home"), "guests"))))
     counts = members.groupBy("label", "d", "cell").agg(F.count("*").alias("n"))
@@ -153,15 +153,20 @@ def embedding_dedup(
         keep = link.any(1)
         return pd.DataFrame({"rep": rep[keep], "root": rep[low][keep], "links": (link.astype(np.int64) @ weight)[keep]})
 
-    met = cut(dealt.groupBy("label", "d", "cell", "a", "b").applyInPandas(meet, f"rep {kind['vec_id']}, root {kind['vec_id']}, links long"))
+    met = cut(dealt.groupBy("label", "d", "cell", "a", "b").applyInPandas(meet, "rep long, root long, links long"))
     links = met.groupBy("rep").agg(F.sum("links").alias("others"))
-    parts = connected_components(met.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    parts = connected_components(met.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
+    lowest = parts.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("lowest"))
     grouped = (
         classes.join(links, "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), "n_copies")
-    )
-    fine = usable.join(grouped, ["label", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"), "n_copies")
+        .join(parts, "rep", "left")
+        .join(lowest, "component", "left")
+        .select(
+            "label", "v", (F.coalesce("others", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"),
+            F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"), "n_copies",
+        )
+    )
+    fine = usable.join(grouped, ["label", "v"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_copies")
     alone = src.where(~F.coalesce(sound, F.lit(False))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1).cast("long").alias("n_copies")
     )

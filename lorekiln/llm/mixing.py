@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import heapq
 from array import array
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from math import lcm
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekiln.llm.store import shared_folder
+
 BLOCK_DOCS = 64
 PERIOD = 10_000  # slots that a row of the schedule spans at most
-MAX_BLOCKS = 1 << 20  # about so many blocks are scheduled: more documents make larger blocks, so that the driver's schedule is bounded
-BUCKETS = 1024  # a source is counted in so many parts
+PLANNED = 1 << 20  # slots of the schedule that the driver holds at once; a longer one is written to the shared folder in parts
+RUN = 8192  # documents of a source that are ranked together, on average
 
 
 def _whole(weights: np.ndarray) -> list[int]:
@@ -31,7 +33,12 @@ def _whole(weights: np.ndarray) -> list[int]:
 
 
 def owners(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The source of each slot; all sources start anew, with their weights scaled up, when one has no blocks left.
+    """The source of each slot."""
+    return np.concatenate([np.zeros(0, np.int64), *owner_runs(blocks, weights, PLANNED)])
+
+
+def owner_runs(blocks: np.ndarray, weights: np.ndarray, period: int) -> Iterator[np.ndarray]:
+    """The source of each slot, a period at a time; all sources start anew, with their weights scaled up, when one has no blocks left.
 
     Since a start the block j of weight w of S is released at floor(j S / w) and due at ceil((j + 1) S / w), in whole numbers.
     Sources that have had no slot since the start wait in one list by weight, so a start costs the same for any number of them.
@@ -66,6 +73,9 @@ def owners(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
                 else:
                     i = heapq.heappop(due)[1]
                 out.append(i)
+                if len(out) == period:
+                    yield np.array(out, np.int64)
+                    del out[:]
                 t += 1
                 had[i] = had.get(i, 0) + 1
                 left[i] -= 1
@@ -74,7 +84,20 @@ def owners(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
                     total -= w[i]
                     break
                 heapq.heappush(released, (had[i] * total // w[i], i))
-    return np.array(out, np.int64)
+    if out:
+        yield np.array(out, np.int64)
+
+
+def _rows(blocks: np.ndarray, weights: np.ndarray, period: int) -> Iterator[tuple[int, int, int, int, int, int, list[int]]]:
+    """The rows of schedule, one period after the other."""
+    done, base = np.zeros(len(blocks), np.int64), 0
+    for part in owner_runs(blocks, weights, period):
+        order = np.argsort(part, kind="stable")
+        for slots in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            i, n = int(part[slots[0]]), len(slots)
+            yield i, int(done[i]), int(done[i]) + n, base + int(slots[0]), n, period, (slots - slots[0]).tolist()
+            done[i] += n
+        base += len(part)
 
 
 def schedule(blocks: np.ndarray, weights: np.ndarray, period: int) -> list[tuple[int, int, int, int, int, int, list[int]]]:
@@ -83,15 +106,26 @@ def schedule(blocks: np.ndarray, weights: np.ndarray, period: int) -> list[tuple
     When a source has no blocks left, the others' weights are scaled up; sources of weight 0 follow when only they are
     left, by their numbers of blocks. A row spans a period at most, and the state is carried on from one to the next.
     """
-    owner, done, rows = owners(blocks, weights), np.zeros(len(blocks), np.int64), []
-    for base in range(0, len(owner), period):
-        part = owner[base : base + period]
-        order = np.argsort(part, kind="stable")
-        for slots in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            i, n = int(part[slots[0]]), len(slots)
-            rows.append((i, int(done[i]), int(done[i]) + n, base + int(slots[0]), n, period, (slots - slots[0]).tolist()))
-            done[i] += n
-    return rows
+    return list(_rows(blocks, weights, period))
+
+
+def _planned(spark: SparkSession, every: list, blocks: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """(none, name, block, slot) of every block; a part of PLANNED slots at a time is on the driver."""
+    schema = "none boolean, name string, first long, base long, slots array<long>"
+    held, slots_held, folder = [], 0, None
+    for i, first, _, base, _, _, slots in _rows(blocks, weights, PERIOD):
+        held.append((every[i].none, every[i]["name"], first, base, slots))
+        slots_held += len(slots)
+        if slots_held >= PLANNED:
+            folder = folder or shared_folder(spark, "mixture")
+            spark.createDataFrame(held, schema).write.mode("append").parquet(folder)
+            held, slots_held = [], 0
+    frame = spark.createDataFrame(held, schema)
+    if folder:
+        frame = spark.read.parquet(folder).unionByName(frame)
+    return frame.select("none", "name", "first", "base", F.posexplode("slots").alias("j", "slot")).select(
+        "none", "name", (F.col("first") + F.col("j")).alias("block"), (F.col("base") + F.col("slot")).alias("slot")
+    )
 
 
 def mix_sources(
@@ -108,32 +142,32 @@ def mix_sources(
     id, so a block is a random part of it. weights gives sources' targets; without it a source's weight is its number of
     documents to the power of the temperature, and sources that weights does not name come last. In every prefix of
     slots in which the set of unfinished sources stays the same, each source is less than one block from its exact weight.
-    Blocks hold block_docs documents, or as many more as leave MAX_BLOCKS blocks and one for each source.
+    Blocks hold block_docs documents at every size.
 
-    All rows are kept. A null source is a source. Rows with equal ids or null ids are kept and follow each other in an
-    order of their own. Every source has a weight of its own; the driver holds a number for each source and block. The
-    rank of a document in its source is the count of earlier hash buckets of the source, plus its rank within
-    its bucket: no task sees a whole source. An empty table gives an empty result.
+    All rows are kept. A null source is a source. Rows with equal ids or null ids are kept and are told apart by their other columns; rows that
+    repeat follow each other. Texts of any length are rows like others. Every source has a weight of its own; the driver holds a number for
+    each source, and schedules PLANNED slots at a time. The rank of a document in its source is the count of earlier hash buckets of the
+    source, of some RUN documents each, plus its rank within its bucket: no task sees a whole source. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    whole = [F.col(f"`{c}`") for c in docs.columns]
     named = [F.col("source").isNull().alias("none"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")]
     packed = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source")
-    ).select("*", *named, F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("bucket"))
-    keys = ["none", "name", "bucket"]
-    counts = packed.groupBy(*keys).agg(F.count("*").alias("n"), F.first("source").alias("source"))
-    totals = counts.groupBy("none", "name").agg(F.sum("n").alias("n"), F.first("source").alias("source"))
+        F.struct(*whole).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.xxhash64(F.col(id_col), *whole).alias("h"), F.xxhash64(F.lit(1), F.col(id_col), *whole).alias("h2"),
+    ).select("*", *named)
+    totals = packed.groupBy("none", "name").agg(F.count("*").alias("n"), F.first("source").alias("source"))
     every = totals.orderBy(F.desc("n"), F.desc("none"), "name").collect()
     sizes = np.array([r.n for r in every], np.int64)
-    block_docs = max(block_docs, -(-int(sizes.sum()) // MAX_BLOCKS))
     if weights is None:
         target = sizes.astype(float) ** temperature
     else:
         target = np.array([float(weights.get(r.source, 0.0)) for r in every])
-    rows = [(every[i].none, every[i]["name"], first, base, slots) for i, first, _, base, _, _, slots in schedule(-(-sizes // block_docs), target, PERIOD)]
-    plan = spark.createDataFrame(rows, "none boolean, name string, first long, base long, slots array<long>").select(
-        "none", "name", "first", "base", F.posexplode("slots").alias("j", "slot")
-    ).select("none", "name", (F.col("first") + F.col("j")).alias("block"), (F.col("base") + F.col("slot")).alias("slot"))
+    plan = _planned(spark, every, -(-sizes // block_docs), target)
+    parts = spark.createDataFrame([(r.none, r["name"], -(-r.n // RUN)) for r in every], "none boolean, name string, parts long")
+    keys = ["none", "name", "bucket"]
+    packed = packed.join(parts, ["none", "name"]).withColumn("bucket", F.pmod("h", "parts"))
+    counts = packed.groupBy(*keys).agg(F.count("*").alias("n"))
     before = counts.select(
         *keys,
         "n",
@@ -149,7 +183,7 @@ def mix_sources(
     )
     ranked = (
         packed.join(buckets, keys)
-        .withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")) - 1 + F.col("before"))
+        .withColumn("at", F.row_number().over(Window.partitionBy(*keys).orderBy("h2", "h", "doc_id")) - 1 + F.col("before"))
         .withColumn("block", F.floor(F.col("at") / block_docs))
     )
     slot = F.expr(f"slots[int(block - floor(before / {block_docs}))].slot")

@@ -102,3 +102,37 @@ def test_items_in_blocks(spark, monkeypatch):
     got = {r.doc_id: sorted(r.item_ids) for r in dc.find_leaks(docs, bench).collect()}
     assert got == {1: [2, 5], 2: []}
     assert [r.doc_id for r in dc.drop_leaks(docs, bench).collect()] == [2]
+
+
+@pytest.mark.parametrize("words", [3, 1_000_000])
+def test_rows_of_one_id_or_none_are_judged_by_their_own_texts(spark, monkeypatch, words):
+    monkeypatch.setattr(dc, "ITEM_BLOCK_WORDS", words)
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(9))) for i in range(4)], "item_id long, text string")
+    leak = [r.text for r in bench.orderBy("item_id").collect()]
+    rows = [(1, leak[0]), (1, "clean"), (None, "clean"), (None, leak[1] + " " + leak[3]), (1, leak[2]), (2, "x " * 200_000 + leak[2])]
+    got = sorted((str(r.doc_id), sorted(r.item_ids)) for r in dc.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    assert got == sorted([("1", [0]), ("1", []), ("None", []), ("None", [1, 3]), ("1", [2]), ("2", [2])])
+
+
+@pytest.mark.parametrize("vocabulary", [20, 50, 5000])
+def test_items_of_few_words_and_small_vocabularies_are_found_at_the_full_reach(vocabulary):
+    rng = random.Random(vocabulary)
+    found = total = 0
+    for n in (5, 10, 20):
+        items = [[f"v{rng.randrange(vocabulary)}" for _ in range(n)] for _ in range(60)]
+        texts = []
+        for item in items:
+            v = list(item)
+            for p in rng.sample(range(n), n // 5):
+                v[p] = f"z{rng.randrange(999)}"
+            texts.append(" ".join(["lead"] * 7 + v + ["tail"] * 7))
+        got = dc.Items(list(range(60)), [" ".join(x) for x in items], 0.2).search(texts)
+        found += sum(i in f for i, f in enumerate(got))
+        total += 60
+    assert found >= 0.99 * total
+
+
+def test_a_reach_of_half_an_item_is_refused(spark):
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        dc.find_leaks(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench, max_edits=0.5)

@@ -57,5 +57,27 @@ def test_vectors_of_any_size(spark):
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
 
 
+def test_vectors_of_one_id_or_none_are_linked_by_themselves(spark, monkeypatch):
+    rows = [(2, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [0.001, 1.0], 0), (None, [1.0, 0.001], 0), (None, [-1.0, 0.0], 0), (9, [-1.0, 0.001], 0), (None, [-1.0, -1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in ed.embedding_dedup(df).collect())
+    want = [("2", 1, "2", True), ("2", 1, "2", True), ("3", 1, "2", False), ("None", 1, "2", False), ("None", 1, "9", False), ("9", 1, "9", True), ("None", 0, "None", True)]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("fitted", [0, 1, 16])
+def test_lengths_with_and_without_centroids_match_brute_force(spark, monkeypatch, fitted):
+    monkeypatch.setattr(ed, "FITTED", fitted)
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(240):
+        size = 2 + i % 3
+        base = rng.normal(size=size)
+        rows.append((i, base.tolist(), 0))
+        rows.append((1000 + i, (base + rng.normal(size=size) * 0.1).tolist(), 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in ed.embedding_dedup(df).collect()} == brute(rows)
+
+
 def test_empty(spark):
     assert ed.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

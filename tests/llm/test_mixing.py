@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -60,11 +61,39 @@ def test_given_weights_order_and_empty(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_blocks_grow_where_there_are_many(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_BLOCKS", 10)
-    docs = spark.createDataFrame([(i, f"s{min(i % 20, 9)}") for i in range(200)], "doc_id long, source string")
-    rows = mixing.mix_sources(docs, block_docs=4).collect()
-    assert len(rows) == 200 == len({r.position for r in rows}) and max(Counter(r.slot for r in rows).values()) == 20
+def plain_edf(sizes, weights, block):
+    """The source of each slot: of the released blocks the one due first, all anew when a source ends; weight 0 comes last by size."""
+    left, out = {s: -(-n // block) for s, n in sizes.items()}, []
+    for pick in (lambda s: weights[s] > 0, lambda s: not weights[s] > 0):
+        share = {s: Fraction(weights[s]) if weights[s] > 0 else Fraction(left[s]) for s in left if pick(s)}
+        while any(left[s] for s in share):
+            live = [s for s in share if left[s]]
+            total, had, t = sum(share[s] for s in live), dict.fromkeys(live, 0), 0
+            while all(left[s] for s in live):
+                due = [(-(-(had[s] + 1) * total // share[s]), s) for s in live if had[s] * total // share[s] <= t]
+                s = min(due)[1]
+                out.append(s)
+                had[s] += 1
+                left[s] -= 1
+                t += 1
+    return out
+
+
+@pytest.mark.parametrize("planned", [1 << 20, 30])
+def test_the_whole_table_follows_a_plain_edf(spark, monkeypatch, planned):
+    monkeypatch.setattr(mixing, "PLANNED", planned)
+    monkeypatch.setattr(mixing, "PERIOD", 16)
+    monkeypatch.setattr(mixing, "RUN", 10)
+    rows = [(i if i % 5 else None, f"s{min(i % 20, 9)}", f"t{i}") for i in range(700)] + [(3, "s1", "again")] * 9 + [(None, None, None)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = order(mixing.mix_sources(docs, block_docs=4).collect())
+    assert Counter((r.doc_id, r.source, r.row.text) for r in got) == Counter(rows) and len({r.position for r in got}) == len(rows)
+    assert max(Counter(r.slot for r in got).values()) == 4  # blocks keep their size however few slots are planned at once
+    sizes = Counter(s for _, s, _ in rows)
+    by_slot = {r.slot: r.source for r in got}
+    names = sorted(sizes, key=lambda s: (-sizes[s], s is not None, s or ""))  # the order in which ties are broken
+    want = plain_edf({i: sizes[s] for i, s in enumerate(names)}, {i: sizes[s] ** 0.5 for i, s in enumerate(names)}, 4)
+    assert [by_slot[t] for t in range(len(by_slot))] == [names[i] for i in want]
 
 
 def test_every_source_keeps_its_exact_weight(spark):
