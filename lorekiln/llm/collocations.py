@@ -8,7 +8,7 @@ parents lead to the counts of all its beginnings and ends, and tell which phrase
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -46,40 +46,76 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - total + sizes, sizes) + np.arange(total[-1] if len(total) else 0)
 
 
-def _told_apart(keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first place, index, count) of the distinct (language, word)s; equal hashes are held against the words themselves."""
-    _, first, index, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+def _told_apart(keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, index) of the distinct (language, word)s; equal hashes are held against the words themselves."""
+    _, first, index = np.unique(keys, return_index=True, return_inverse=True)
     one = first[index]
     same = (sizes == sizes[one]).all() and (lang == lang[one]).all()
     if same and np.array_equal(buf[_spread(starts, sizes)], buf[_spread(starts[one], sizes)]):
-        return first, index, count
+        return first, index
     raw = buf.tobytes()
     words = np.array([f"{g} {raw[s : s + n].hex()}" for g, s, n in zip(lang.tolist(), starts.tolist(), sizes.tolist(), strict=True)])
-    return np.unique(words, return_index=True, return_inverse=True, return_counts=True)[1:]
+    return np.unique(words, return_index=True, return_inverse=True)[1:]
 
 
-def block_words(texts: list, langs: list) -> Iterator[tuple[np.ndarray, list, pa.Array, np.ndarray]]:
-    """(sequence of local words, language, word and count of each) of some blocks of texts, A-Z lower-cased; BREAK marks the ends of pieces."""
-    names = sorted({g or NO_LANG for g in langs if g != ""} | ({""} if "" in langs else set()))
-    number = {g: i for i, g in enumerate(names)}
-    of_text = np.array([number[NO_LANG if g is None else g] for g in langs], np.int64)
-    for first, _, buf, offsets in tv.chunks(texts, BLOCK_BYTES):
+class Vocabulary:
+    """Words of a part of a block: their hashes, bytes, sizes, languages and counts, and the sequence of their numbers."""
+
+    def __init__(self, sequence, keys, data, sizes, lang, count):
+        self.sequence, self.keys, self.data, self.sizes, self.lang, self.count = sequence, keys, data, sizes, lang, count
+
+    @classmethod
+    def of(cls, buf: np.ndarray, offsets: np.ndarray, lang_of_text: np.ndarray) -> Vocabulary | None:
         kind = KIND[buf]
         starts, ends = tv.runs(kind == 2)
         if not len(starts):
-            continue
-        lang = of_text[first + np.searchsorted(offsets, starts, "right") - 1]
+            return None
+        sizes, lang = ends - starts, lang_of_text[np.searchsorted(offsets, starts, "right") - 1]
         keys = tv.mix(tv.span_hashes(buf, starts, ends) + lang.astype(np.uint64) * tv._P)
-        piece = np.cumsum(kind == 1)[starts]
-        at, index, count = _told_apart(keys, buf, starts, ends - starts, lang)
-        sizes = (ends - starts)[at]
-        data = buf[_spread(starts[at], sizes)]
-        offset = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offset), pa.py_buffer(np.ascontiguousarray(data)))
+        at, index = _told_apart(keys, buf, starts, sizes, lang)
         sequence = index.astype(np.uint32)
-        sequence[:-1][np.diff(piece) > 0] |= BREAK
+        sequence[:-1][np.diff(np.cumsum(kind == 1, dtype=np.int32)[starts]) > 0] |= BREAK
         sequence[-1] |= BREAK
-        yield sequence, pa.DictionaryArray.from_arrays(pa.array(lang[at], pa.int32()), pa.array(names, pa.string())).cast(pa.string()), words, count
+        return cls(sequence, keys[at], buf[_spread(starts[at], sizes[at])], sizes[at], lang[at], np.bincount(index))
+
+    @classmethod
+    def joined(cls, parts: list[Vocabulary]) -> Vocabulary:
+        keys, data, sizes, lang, count = (np.concatenate([getattr(p, c) for p in parts]) for c in ("keys", "data", "sizes", "lang", "count"))
+        starts = np.cumsum(sizes) - sizes
+        at, index = _told_apart(keys, data, starts, sizes, lang)
+        base = np.cumsum([0, *(len(p.keys) for p in parts)])
+        number = index.astype(np.uint32)
+        sequence = np.concatenate([number[b + (p.sequence & ~BREAK)] | (p.sequence & BREAK) for b, p in zip(base[:-1], parts, strict=True)])
+        total = np.bincount(index, weights=count, minlength=len(at)).astype(np.int64)
+        return cls(sequence, keys[at], data[_spread(starts[at], sizes[at])], sizes[at], lang[at], total)
+
+    def words(self) -> pa.Array:
+        offset = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.sizes), pa.py_buffer(offset), pa.py_buffer(np.ascontiguousarray(self.data)))
+
+
+def block_words(batches: Iterable[tuple[list, list]]) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]]:
+    """(sequence of local words, language, word and count of each) of blocks of (texts, languages), A-Z lower-cased; BREAK marks the ends of pieces."""
+    number: dict[str, int] = {}
+    parts: list[Vocabulary] = []
+    size = 0
+
+    def block() -> tuple[np.ndarray, pa.Array, pa.Array, np.ndarray]:
+        v = Vocabulary.joined(parts)
+        lang = pa.DictionaryArray.from_arrays(pa.array(v.lang, pa.int32()), pa.array(list(number), pa.string())).cast(pa.string())
+        return v.sequence, lang, v.words(), v.count
+
+    for texts, langs in batches:
+        of_text = np.array([number.setdefault(NO_LANG if g is None else g, len(number)) for g in langs], np.int64)
+        for first, end, buf, offsets in tv.chunks(texts, tv.CHUNK):
+            if (v := Vocabulary.of(buf, offsets, of_text[first:end])) is not None:
+                parts.append(v)
+            size += len(buf)
+            if size >= BLOCK_BYTES and parts:
+                yield block()
+                parts, size = [], 0
+    if parts:
+        yield block()
 
 
 def neighbours(sequence: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,20 +143,20 @@ def _paired(at: np.ndarray, rank: np.ndarray, open_: np.ndarray, size: int) -> t
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with the packed sequence of each block, then a row for each of its distinct words."""
     pack, part, made = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
-    for batch in tv.gathered(batches, BLOCK_BYTES):
-        for sequence, lang, words, count in block_words(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            if made >> SEQ_BITS or len(words) >> NAME_BITS:
-                raise ValueError(f"more than {1 << SEQ_BITS} blocks in a partition or {1 << NAME_BITS} words in a block")
-            block, n = part << SEQ_BITS | made, len(words)
-            made += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([pack.compress(sequence.tobytes())], pa.binary())],
-                names=["block", "i", "lang", "word", "n", "data"],
-            )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.arange(n)), lang, words, pa.array(count.astype(np.int64)), pa.nulls(n, pa.binary())],
-                names=["block", "i", "lang", "word", "n", "data"],
-            )
+    texts = ((b.column("text").to_pylist(), b.column("lang").to_pylist()) for b in batches)
+    for sequence, lang, words, count in block_words(texts):
+        if made >> SEQ_BITS or len(words) >> NAME_BITS:
+            raise ValueError(f"more than {1 << SEQ_BITS} blocks in a partition or {1 << NAME_BITS} words in a block")
+        block, n = part << SEQ_BITS | made, len(words)
+        made += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([pack.compress(sequence.tobytes())], pa.binary())],
+            names=["block", "i", "lang", "word", "n", "data"],
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.array(np.arange(n)), lang, words, pa.array(count.astype(np.int64)), pa.nulls(n, pa.binary())],
+            names=["block", "i", "lang", "word", "n", "data"],
+        )
 
 
 def _pairs(left: pa.Table, right: pa.Table, depth: int) -> pa.Table:

@@ -51,6 +51,7 @@ def corpus(seed):
 @pytest.mark.parametrize(("longest", "block"), [(3, 16 << 20), (3, 700), (2, 900), (4, 700), (5, 16 << 20)])
 def test_phrases_match_counting_everything(spark, monkeypatch, longest, block):
     monkeypatch.setattr(co, "BLOCK_BYTES", block)
+    monkeypatch.setattr(co.tv, "CHUNK", 300)
     rows = corpus(longest)
     df = spark.createDataFrame([(t, g, "clash", 1) for t, g in rows], "text string, lang string, word string, id int").repartition(3)
     got = sorted(map(tuple, co.mine_phrases(df, min_count=4, max_words=longest, top=60).collect()))
@@ -78,7 +79,7 @@ def test_counts_beyond_64_bits_and_few_rows(spark):
 
 def test_words_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(co.tv, "span_hashes", lambda buf, starts, ends: (ends - starts).astype("uint64"))
-    (sequence, lang, words, count), = co.block_words(["aa bb aa", "cc bb"], ["en", "fr"])
+    (sequence, lang, words, count), = co.block_words([(["aa bb aa", "cc bb"], ["en", "fr"])])
     seen = Counter(dict(zip(zip(lang.to_pylist(), words.to_pylist(), strict=True), count.tolist(), strict=True)))
     assert seen == Counter({("en", "aa"): 2, ("en", "bb"): 1, ("fr", "cc"): 1, ("fr", "bb"): 1})
     assert [words.to_pylist()[i & ~co.BREAK] for i in sequence] == ["aa", "bb", "aa", "cc", "bb"]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from lorekiln.llm import decontaminate as dc
 
