@@ -608,7 +608,7 @@ def single_link(spark, sf_dir):
 
 @query()
 def complete_link(spark, sf_dir):
-    return cluster.complete_linkage(T.read(spark, sf_dir, "embeddings"), _pairs(spark, sf_dir, 0.4), "vec_id", "embedding", 0.4)
+    return cluster.complete_linkage(_pairs(spark, sf_dir, 0.4))
 
 
 @query("""WITH f AS (SELECT p_partkey, p_type AS c, CASE WHEN p_size % 2 = 0 THEN p_brand END AS f0, p_size % 3 AS f1 FROM part), k AS (SELECT c, count(DISTINCT f0) AS kinds, max(f0) AS one FROM f GROUP BY 1)
@@ -758,4 +758,4 @@ def dotted_sections(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(pairs, lambda x: x["s"]), ",").alias("ordered"))
 
 
-from lorekiln import catalog_console, catalog_knowledge  # noqa: E402, F401  (their queries join these)
+from lorekiln import catalog_compile, catalog_console, catalog_knowledge  # noqa: E402, F401  (their queries join these)

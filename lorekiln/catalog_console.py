@@ -154,4 +154,4 @@ def named_numbers(spark, sf_dir):
 @query()
 def tightened_clusters(spark, sf_dir):
     """Clusters of at most 15 vectors where a threshold below 0.95 tells them apart (the tests hold it against the recursion)."""
-    return cluster.tightened(T.read(spark, sf_dir, "embeddings"), _pairs(spark, sf_dir, 0.4), "vec_id", "embedding", 0.4)
+    return cluster.tightened(T.read(spark, sf_dir, "embeddings"), _pairs(spark, sf_dir, 0.4), "vec_id", 0.4)

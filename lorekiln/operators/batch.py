@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekiln.operators.ordered import ranked
+
 
 def lanes(items: DataFrame, order: list[str], specs: dict[str, tuple[Column, int, int]]) -> DataFrame:
     """Items in lanes: of those that fit a lane's filter (the first that fits), the ones from an offset on, up to a limit."""
     lane = F.lit(None).cast("string")
     for name, (fits, _, _) in reversed(specs.items()):
         lane = F.when(fits, name).otherwise(lane)
-    w = Window.partitionBy("lane").orderBy(*order)
-    placed = items.withColumn("lane", lane).where("lane IS NOT NULL").withColumn("at", F.row_number().over(w).cast("long") - 1)
-    keep = F.lit(False)
+    placed, out = items.withColumn("lane", lane), None
     for name, (_, offset, limit) in specs.items():
-        keep |= (F.col("lane") == name) & (F.col("at") >= offset) & (F.col("at") < offset + limit)
-    return placed.where(keep)
+        # offset and limit bound what is sorted in one task: each task brings so many rows at most
+        first = placed.where(F.col("lane") == name).orderBy(*order).limit(offset + limit)
+        ranked_first = first.withColumn("at", F.row_number().over(Window.partitionBy("lane").orderBy(*order)).cast("long") - 1).where(F.col("at") >= offset)
+        out = ranked_first if out is None else out.unionByName(ranked_first)
+    return out
 
 
 def expanded_pages(sections: DataFrame, key: str) -> DataFrame:
@@ -35,14 +38,12 @@ def unprocessed(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
-    """Rows of a group up to the one that uses its budget up."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("used", F.coalesce(F.sum(cost).over(w), F.lit(0))).where(F.col("used") < budget)
+    """Rows of a group up to the one that uses its budget up; groups of any size."""
+    return ranked(rows, [group], order, "_rank", cost, "used").drop("_rank").where(F.col("used") < budget)
 
 
 def batches(rows: DataFrame, group: str, order: list[str], size: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return ranked(rows, [group], order, "_rank").withColumn("batch", F.floor(F.col("_rank") / size).cast("long")).drop("_rank")
 
 
 def smoke_status(expected: DataFrame, visible: DataFrame, key: str, limit: int) -> DataFrame:
@@ -52,5 +53,5 @@ def smoke_status(expected: DataFrame, visible: DataFrame, key: str, limit: int)
     return j.withColumn("status", status)
 
 
-def missing_expected(runs: DataFrame, found: str = "found", expected: str = "expected") -> Column:
+def missing_expected(found: str = "found", expected: str = "expected") -> Column:
     return F.array_join(F.array_sort(F.array_except(expected, found)), ",")

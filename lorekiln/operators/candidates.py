@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions import text as X
 from lorekiln.functions import values as V
+from lorekiln.operators.substrings import holding
 
 
 def containment(chunks: DataFrame, terms: DataFrame, chunk_key: str = "chunk_id") -> DataFrame:
@@ -51,46 +50,11 @@ def context_window(rows: DataFrame, doc: str, order: list[str], radius: int = 1,
     return rows.withColumn(out, F.array_join(F.collect_list(text).over(w), "\n\n"))
 
 
-QUOTE_CHARS = 4 << 20  # characters of the quotes that one pass over the texts carries with it
-
-
-def _found_quotes(rows: DataFrame, keep: list[str], columns: list[str], quotes: DataFrame, select) -> DataFrame:
-    """keep and quote_id of the quotes(quote_id, q) that `select` takes from the sets of quotes in each of the columns.
-
-    One automaton over a block of quotes reads each text once, however many quotes there are; blocks are bounded in characters, so
-    what the driver and the tasks hold of the quotes is too.
-    """
-    q = quotes.where("q <> ''")
-    blocks = (q.agg(F.coalesce(F.sum(F.length("q")), F.lit(0))).first()[0] // QUOTE_CHARS) + 1
-    kinds, out = dict(rows.dtypes) | {"quote_id": dict(quotes.dtypes)["quote_id"]}, None
-    schema = ", ".join(f"{k} {kinds[k]}" for k in [*keep, "quote_id"])
-    for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == b).collect()
-        shared = rows.sparkSession.sparkContext.broadcast([(r.quote_id, r.q) for r in part])
-
-        def find(batches, shared=shared):
-            tree, ids = ahocorasick.Automaton(), {}
-            for quote_id, text in shared.value:
-                ids.setdefault(text, []).append(quote_id)
-            for text in ids:
-                tree.add_word(text, text)
-            tree.make_automaton()
-            inside = lambda text: {w for _, w in tree.iter(text)} if isinstance(text, str) and ids else set()
-            for pdf in batches:
-                hits = [(i, quote_id) for i, texts in enumerate(zip(*(pdf[c] for c in columns), strict=True)) for w in select(*map(inside, texts)) for quote_id in ids[w]]
-                at = [i for i, _ in hits]
-                yield pd.DataFrame({**{k: pdf[k].to_numpy()[at] for k in keep}, "quote_id": [x for _, x in hits]})
-
-        found = rows.select(*keep, *columns).mapInPandas(find, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def quotes_in(texts: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:
     """(quote_id, key) wherever a text holds a quote, both in normal form."""
-    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("q"))
-    t = texts.select(key, X.anchor(F.col("text")).alias("t"))
-    return _found_quotes(t, [key], ["t"], q, lambda t: t).select("quote_id", key)
+    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("string"))
+    t = texts.select(key, X.anchor(F.col("text")).alias("text"))
+    return holding(t, q, [key]).select("quote_id", key)
 
 
 def quotes_across(chunks: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -98,9 +62,39 @@ def quotes_across(chunks: DataFrame, quotes: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("chunk_index")
     both = chunks.select("doc_id", "chunk_index", "text", F.lead("text").over(w).alias("next")).where("next IS NOT NULL")
     both = both.select("doc_id", "chunk_index", X.anchor(F.col("text")).alias("a"), X.anchor(F.col("next")).alias("b"))
-    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("q"))
-    whole = both.withColumn("ab", F.concat("a", "b"))
-    return _found_quotes(whole, ["doc_id", "chunk_index"], ["ab", "a", "b"], q, lambda ab, a, b: ab - a - b).select("quote_id", "doc_id", "chunk_index")
+    q = quotes.select("quote_id", X.anchor(F.col("quote")).alias("string"))
+    keys = ["doc_id", "chunk_index"]
+    found = holding(both.withColumn("text", F.concat("a", "b")), q, keys).join(both, keys)
+    return found.where(~F.contains("a", "string") & ~F.contains("b", "string")).select("quote_id", *keys)
+
+
+def repair_terms(values: list[Column]) -> Column:
+    """The parts of a candidate's codes and names that may stand for its quote: three characters or more in normal form, or letters and a number."""
+    parts = F.flatten(F.array(*(F.split(F.coalesce(v, F.lit("")), r"[/,，、\s]+") for v in values)))
+    terms = F.transform(parts, X.anchor)
+    return F.array_distinct(F.filter(terms, lambda t: (F.length(t) >= 3) | t.rlike("^[a-z]+\\d+")))
+
+
+def anchored(candidates: DataFrame, chunks: DataFrame, names: list[str]) -> DataFrame:
+    """candidates(candidate_id, doc_id, quote, names...) with the chunks of their document that back them.
+
+    chunks(doc_id, chunk_id, chunk_index, page_no, text). A candidate stands on the chunks that hold its quote in normal form, else on
+    those that hold one of its repair terms, and is else rejected. Returns candidate_id, chunk_id and page_no of the first, n_chunks, reason: verbatim,
+    repaired or rejected.
+    """
+    quote = X.anchor(F.coalesce("quote", F.lit("")))
+    asked = candidates.select("candidate_id", "doc_id", quote.alias("string"), F.lit("verbatim").alias("reason")).unionByName(
+        candidates.select("candidate_id", "doc_id", F.explode(repair_terms([F.col(n) for n in names])).alias("string"), F.lit("repaired").alias("reason"))
+    )
+    text = chunks.select("doc_id", "chunk_id", "chunk_index", "page_no", X.anchor(F.col("text")).alias("text"))
+    held = holding(text, asked, ["chunk_id", "chunk_index", "page_no"], within=("doc_id",))
+    backed = held.groupBy("candidate_id", "reason").agg(
+        F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id"), F.min("page_no").alias("page_no"), F.countDistinct("chunk_id").alias("n_chunks")
+    )
+    verbatim = backed.where("reason = 'verbatim'")
+    repaired = backed.where("reason = 'repaired'").join(verbatim.select("candidate_id"), "candidate_id", "left_anti")
+    found = candidates.select("candidate_id").join(verbatim.unionByName(repaired), "candidate_id", "left")
+    return found.select("candidate_id", "chunk_id", "page_no", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("reason", F.lit("rejected")).alias("reason"))
 
 
 def rule_candidates(chunks: DataFrame, pattern: str, kind: str, base: float, bonus: float, equipment: float = 1.0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.operators.components import components, cut
+from lorekiln.operators.ordered import ranked
 
 
 def cosine(a, b):
@@ -62,22 +63,63 @@ def greedy_complete_linkage(keys: list, sim: np.ndarray, threshold: float) -> li
     return cluster
 
 
-def complete_linkage(vectors: DataFrame, pairs: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """(key, cluster): greedy complete linkage within the single-linkage components, which it never crosses."""
-    kind = dict(vectors.dtypes)[key]
-    parts = single_linkage(pairs).withColumnRenamed("node", key)
+BLOCK = 2048  # rows of a component that one task places at once
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.stack(pdf["v"].to_numpy())
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        c = greedy_complete_linkage(pdf[key].tolist(), x @ x.T, threshold)
-        return pd.DataFrame({"key": pdf[key], "cluster": pdf[key].to_numpy()[c]})
 
-    return (
-        vectors.select(key, F.col(vector).cast("array<double>").alias("v")).join(parts, key).groupBy("component").applyInPandas(link, f"key {kind}, cluster {kind}")
-    )
+def _placed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The clusters of a block's rows: each joins the first, by leader, with whose members it all links, else it leads its own.
+
+    Rows are tagged: 0 a row of the block; 1 a link of two of them, `other` before `key`; 2 an earlier cluster, led by `other`, all of which `key` links with.
+    """
+    kind, key, other = (pdf[c].to_numpy() for c in ("kind", "key", "other"))
+    rows = np.sort(key[kind == 0])
+    n = len(rows)
+    link = np.zeros((n, n), bool)
+    at = lambda x: np.searchsorted(rows, x)
+    link[at(key[kind == 1]), at(other[kind == 1])] = True
+    old = np.sort(np.unique(other[kind == 2]))
+    fits = np.zeros((n, len(old)), bool)
+    fits[at(key[kind == 2]), np.searchsorted(old, other[kind == 2])] = True
+    leaders, size, cluster = list(old), np.zeros(len(old) + n, np.int64), np.zeros(n, np.int64)
+    for j in range(n):
+        near = np.bincount(cluster[:j][link[j, :j]], minlength=len(size))
+        ok = near[: len(leaders)] == size[: len(leaders)]
+        ok[: len(old)] &= fits[j]
+        found = int(ok.argmax()) if ok.any() else len(leaders)
+        if found == len(leaders):
+            leaders.append(rows[j])
+        cluster[j] = found
+        size[found] += 1
+    return pd.DataFrame({"key": rows, "cluster": np.array(leaders, dtype=rows.dtype)[cluster] if n else rows})
+
+
+def complete_linkage(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(key, cluster) for every row of pairs(a, b): greedy complete linkage, pairs taken in the order of their rows; cluster is its first row.
+
+    As a cluster only grows when all its rows link with the new one, taking pairs in order is the same as giving each row, in
+    order, to the first cluster all of which it links with. Rows of a component are placed a block at a time, all components at once: links to earlier
+    rows are counted by cluster, and a count that equals the cluster's size lets the row in. A task holds one block and its links, the lineage is cut after
+    each round, and there are as many rounds as blocks in the largest component.
+    """
+    kind = dict(pairs.dtypes)["a"]
+    edges = cut(pairs.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).where("i < j").distinct())
+    parts = components(edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    nodes = cut(ranked(parts, ["component"], ["node"]).select("component", "node", F.floor(F.col("rank") / block).alias("block")))
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("block").alias(f"b{side}"))
+    edges = cut(edges.join(of("i"), "i").join(nodes.withColumnsRenamed({"node": "j", "block": "bj"}), "j"))
+    last = nodes.agg(F.max("block")).first()[0]
+    done = None
+    for r in range(0 if last is None else last + 1):
+        tag = lambda df, t, key, other: df.select("component", F.lit(t).alias("kind"), F.col(key).alias("key"), other.cast(kind).alias("other"))
+        here = edges.where(F.col("bj") == r)
+        rows = tag(nodes.where(F.col("block") == r), 0, "node", F.lit(None)).unionByName(tag(here.where(F.col("bi") == r), 1, "j", F.col("i")))
+        if r:
+            sizes = done.groupBy("cluster").agg(F.count("*").alias("size"))
+            met = here.where(F.col("bi") < r).join(done.withColumnRenamed("key", "i"), "i").groupBy("component", "j", "cluster").agg(F.count("*").alias("links"))
+            rows = rows.unionByName(tag(met.join(sizes, "cluster").where("links = size"), 2, "j", F.col("cluster")))
+        new = rows.groupBy("component").applyInPandas(_placed, f"key {kind}, cluster {kind}")
+        done = cut(new if done is None else done.unionByName(new))
+    return done if done is not None else nodes.select(F.col("node").alias("key"), F.col("node").alias("cluster"))
 
 
 def split_by_facets(rows: DataFrame, cluster: str, axes: list[str]) -> DataFrame:
@@ -96,15 +138,15 @@ def split_by_facets(rows: DataFrame, cluster: str, axes: list[str]) -> DataFrame
     return out.withColumn("facet_group", F.concat_ws("|", *keys)).drop(*keys[1:])
 
 
-def tightened(vectors: DataFrame, pairs: DataFrame, key: str, vector: str, least: float, max_size: int = 15, step: float = 0.05, last: float = 0.95) -> DataFrame:
+def tightened(rows: DataFrame, pairs: DataFrame, key: str, least: float, max_size: int = 15, step: float = 0.05, last: float = 0.95) -> DataFrame:
     """(key, cluster): clusters of complete linkage at `least`; one of more than `max_size` rows is linked anew, within itself, at a threshold
     higher by `step`, until it is small or the threshold is `last` or more. pairs are those at `least`, with their similarity.
 
     At most (last - least) / step + 1 rounds; the rows of small clusters leave after each.
     """
-    done, rest, near, threshold = None, vectors, cut(pairs), least
+    done, rest, near, threshold = None, rows, cut(pairs), least
     while True:
-        found = cut(complete_linkage(rest, near.where(F.col("similarity") >= threshold), key, vector, threshold).toDF(key, "cluster"))
+        found = cut(complete_linkage(near.where(F.col("similarity") >= threshold)).toDF(key, "cluster"))
         found = rest.select(key).join(found, key, "left").withColumn("cluster", F.coalesce("cluster", key))
         sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
         sized = found.join(sizes, "cluster")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekiln.functions import text as X
 from lorekiln.functions import values as V
 
 
@@ -129,6 +130,30 @@ def numbered_keys(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
     return rows.withColumn("unique_key", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), n.cast("string"))))
 
 
+def keys_around(rows: DataFrame, base: str, order: list[str], reserved: DataFrame) -> DataFrame:
+    """Unique keys where some are taken: rows of a base key get the free ones of base, base_2, base_3 ... in order; reserved(key).
+
+    The k-th row takes the k-th free number: reserved numbers of a base, ascending, each push the free ones behind them by one, so the number is k plus how many of them
+    are at most that; these gaps are runs, found by a running difference, and rows meet runs by their base.
+    """
+    number = F.coalesce(F.regexp_extract("key", r"_([1-9][0-9]*)$", 1).try_cast("long"), F.lit(1))
+    stem = F.regexp_replace("key", r"_[1-9][0-9]*$", "")
+    # a key may itself be a base, or a base with a number from 2 on; a base that looks like another with a number has that number
+    bases = rows.select(F.col(base).alias("key")).distinct()
+    numbered = reserved.select("key").unionByName(bases).where(number >= 2).select(stem.alias("b"), number.alias("n"))
+    taken = reserved.select(F.col("key").alias("b"), F.lit(1).cast("long").alias("n")).unionByName(numbered).distinct()
+    w = Window.partitionBy("b").orderBy("n")
+    free_before = F.col("n") - F.row_number().over(w)  # numbers below n that are free
+    pushed = taken.withColumn("free", free_before).groupBy("b", "free").agg(F.max("n").alias("n"))
+    runs = pushed.select("b", F.col("free").alias("k0"), (F.col("n") - F.col("free")).alias("shift"))
+    ends = runs.withColumn("k1", F.lead("k0").over(Window.partitionBy("b").orderBy("k0")))
+    ranked_rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(base).orderBy(*order)).cast("long"))
+    # rows k with k0 < k <= k1 lie behind the run that has k0 free numbers before it
+    met = ranked_rows.join(ends, (F.col(base) == F.col("b")) & (F.col("_k") > F.col("k0")) & (F.col("k1").isNull() | (F.col("_k") <= F.col("k1"))), "left")
+    n = F.col("_k") + F.coalesce("shift", F.lit(0))
+    return met.withColumn("unique_key", F.when(n == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), n.cast("string")))).drop("_k", "b", "k0", "k1", "shift")
+
+
 def sliced(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
     """Groups with more rows than `size` in slices of it."""
     w = Window.partitionBy(key)
@@ -194,8 +219,6 @@ def split_objects(evidence: DataFrame, order: list[str]) -> DataFrame:
 
 def split_by_signature(rows: DataFrame, key: str, signature: Column, name: Column) -> DataFrame:
     """rows whose group `key` has one signature only keep it; where there are several, each gets the key with the slug of its first name."""
-    from lorekiln.functions import text as X
-
     signed = rows.withColumn("signature", signature).withColumn("_name", name)
     firsts = signed.groupBy(key, "signature").agg(F.min("_name").alias("first_name"))
     kinds = firsts.groupBy(key).agg(F.count("*").alias("kinds"))

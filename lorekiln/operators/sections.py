@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,36 @@ def select_within(sections: DataFrame, max_sections: int, max_pages: int) -> Dat
     return sections.groupBy("doc_id").applyInPandas(fold, sections.schema)
 
 
+MOST_CHARS = 1000  # of a chunk
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def chunk_array(text: Column, most: int = MOST_CHARS) -> Column:
+    """A page's paragraphs as an array; a longer one is repacked by its sentences, each closed by a full stop, in a fold that stays in the JVM."""
+    empty = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
+
+    def add(state: Column, sentence: Column) -> Column:
+        closed = F.concat(sentence, F.lit(". "))
+        fits = F.length(state["held"]) + F.length(sentence) <= most
+        done = F.when(state["held"] == "", state["out"]).otherwise(F.array_append(state["out"], _stripped(state["held"])))
+        return F.when(fits, F.struct(F.concat(state["held"], closed).alias("held"), state["out"].alias("out"))).otherwise(F.struct(closed.alias("held"), done.alias("out")))
+
+    def end(state: Column) -> Column:
+        return F.when(state["held"] == "", state["out"]).otherwise(F.array_append(state["out"], _stripped(state["held"])))
+
+    repacked = lambda p: F.aggregate(F.split(p, r"\. ", -1), empty, add, end)
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(repacked(p))))
+
+
+def page_chunks(pages: DataFrame, keys: list[str], text: str = "text", most: int = MOST_CHARS) -> DataFrame:
+    """keys, chunk_index, text and excerpt of the chunks of every page; blank ones are left out and keep their number, from 0."""
+    each = pages.select(*keys, F.posexplode(chunk_array(F.col(text), most)).alias("chunk_index", "text"))
+    return each.where(_stripped(F.col("text")) != "").select(*keys, F.col("chunk_index").cast("long"), "text", F.substring("text", 1, 200).alias("excerpt"))
+
+
 def chunk_page(text: str | None, most: int = 1000) -> list[str]:
     """Paragraphs of a page; a longer one is repacked by sentences, each closed by a full stop."""
     out = []
@@ -107,3 +137,10 @@ def cap_in_order(rows: DataFrame, bucket: list[str], order: list, n: int) -> Dat
     """The first n rows of each bucket."""
     w = Window.partitionBy(*bucket).orderBy(*order)
     return rows.withColumn("rn", F.row_number().over(w).cast("long")).where(F.col("rn") <= n)
+
+
+def overlapping_ranges(ranges: DataFrame, doc: str, first: str, last: str, key: str) -> DataFrame:
+    """ranges that begin before an earlier one of their document has ended, with the key of the one that reaches furthest: a sweep by first page, without pairs."""
+    w = Window.partitionBy(doc).orderBy(first, last, key).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.struct(F.col(last).alias("reach"), F.col(key).alias("over"))).over(w)
+    return ranges.withColumn("_before", reach).where(F.col("_before.reach") >= F.col(first)).select(doc, key, first, last, F.col("_before.over").alias("overlaps"), F.col("_before.reach").alias("reach"))

@@ -24,7 +24,7 @@ def test_oversize_clusters_are_tightened(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(i, "a", v.tolist()) for i, v in enumerate(x)], "k long, g string, v array<double>")
     got = {}
-    for r in cluster.tightened(df, cluster.similar_pairs(df, "k", "v", "g", 0.7), "k", "v", 0.7, 5).collect():
+    for r in cluster.tightened(df, cluster.similar_pairs(df, "k", "v", "g", 0.7), "k", 0.7, 5).collect():
         got.setdefault(r.cluster, set()).add(r.k)
     want = recursive(list(range(80)), x, 0.7, 5)
     assert {frozenset(s) for s in got.values()} == set(want) and any(len(s) >= 20 for s in want)
@@ -32,7 +32,7 @@ def test_oversize_clusters_are_tightened(spark):
 
 def test_tightening_nothing(spark):
     df = spark.createDataFrame([], "k long, g string, v array<double>")
-    assert cluster.tightened(df, cluster.similar_pairs(df, "k", "v", "g", 0.7), "k", "v", 0.7).count() == 0
+    assert cluster.tightened(df, cluster.similar_pairs(df, "k", "v", "g", 0.7), "k", 0.7).count() == 0
 
 
 def test_titles_fall_back_to_the_last_asset_then_to_the_text(spark):
