@@ -14,15 +14,15 @@ from lorekiln.plans import tables as T
 _WS = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-@query(f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS at FROM documents),
-s AS (SELECT doc_id, at, para, CASE WHEN length(para) > 1000 THEN string_split(para, '. ') END AS ss FROM p),
-f(doc_id, at, ss, i, held, out) AS (
-  SELECT doc_id, at, ss, 0, '', []::VARCHAR[] FROM s WHERE ss IS NOT NULL
+@query(f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS para, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS pno FROM documents),
+s AS (SELECT doc_id, pno, para, CASE WHEN length(para) > 1000 THEN string_split(para, '. ') END AS ss FROM p),
+f(doc_id, pno, ss, i, held, out) AS (
+  SELECT doc_id, pno, ss, 0, '', []::VARCHAR[] FROM s WHERE ss IS NOT NULL
   UNION ALL
-  SELECT doc_id, at, ss, i + 1, CASE WHEN length(held) + length(ss[i + 1]) <= 1000 THEN held || ss[i + 1] || '. ' ELSE ss[i + 1] || '. ' END,
+  SELECT doc_id, pno, ss, i + 1, CASE WHEN length(held) + length(ss[i + 1]) <= 1000 THEN held || ss[i + 1] || '. ' ELSE ss[i + 1] || '. ' END,
     CASE WHEN length(held) + length(ss[i + 1]) <= 1000 OR held = '' THEN out ELSE list_append(out, trim(held, {_WS})) END FROM f WHERE i < len(ss)),
-o AS (SELECT doc_id, at, [para] AS c FROM s WHERE ss IS NULL UNION ALL SELECT doc_id, at, list_append(out, trim(held, {_WS})) FROM f WHERE i = len(ss)),
-a AS (SELECT doc_id, flatten(list(c ORDER BY at)) AS c FROM o GROUP BY 1),
+o AS (SELECT doc_id, pno, [para] AS c FROM s WHERE ss IS NULL UNION ALL SELECT doc_id, pno, list_append(out, trim(held, {_WS})) FROM f WHERE i = len(ss)),
+a AS (SELECT doc_id, flatten(list(c ORDER BY pno)) AS c FROM o GROUP BY 1),
 u AS (SELECT doc_id, unnest(c) AS text, generate_subscripts(c, 1) - 1 AS chunk_index FROM a)
 SELECT doc_id, chunk_index::BIGINT AS chunk_index, text, text[1:200] AS excerpt FROM u WHERE trim(text, {_WS}) <> ''""")
 def page_chunks(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 CJK = "[一-鿿]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(x: Column) -> Column:
     """Lower-cased, trimmed, runs of white space as one blank."""
     return F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))

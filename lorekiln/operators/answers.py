@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.functions.text import let
+
 #: What a candidate's confidence is without one, and at most.
 DEFAULT_CONFIDENCE, MOST_CONFIDENCE = 0.72, 0.95
 NO_RATIONALE = "llm draft from constrained chunk window"
@@ -21,24 +23,35 @@ def _uncomma(x: Column) -> Column:
 
 def repairs(content: Column) -> Column:
     """The readings of an answer in the order in which they are tried: as it is, without its code fence, from its first { to its last }; each then without trailing commas."""
-    bare = _blank_ends(F.coalesce(content, F.lit("")))
-    fenced = F.when(F.startswith(bare, F.lit("```")), _blank_ends(F.regexp_replace(F.regexp_replace(bare, r"^(?i)```(?:json)?\s*", ""), r"\s*```$", ""))).otherwise(bare)
-    outer = F.regexp_extract(F.when(fenced != "", fenced).otherwise(bare), r"(?s)(\{.*\})", 1)
-    return F.array_distinct(F.filter(F.flatten(F.array(*(F.array(x, _uncomma(x)) for x in (bare, fenced, outer)))), lambda x: x != ""))
+    def unfenced(bare: Column) -> Column:
+        inner = _blank_ends(F.regexp_replace(F.regexp_replace(bare, r"^(?i)```(?:json)?\s*", ""), r"\s*```$", ""))
+        return F.array(bare, F.when(F.startswith(bare, F.lit("```")), inner).otherwise(bare))
+
+    def outer(read: Column) -> Column:
+        last = F.when(F.get(read, F.lit(1)) != "", F.get(read, F.lit(1))).otherwise(F.get(read, F.lit(0)))
+        return F.array_append(read, F.regexp_extract(last, r"(?s)(\{.*\})", 1))
+
+    three = let(let(_blank_ends(F.coalesce(content, F.lit(""))), unfenced), outer)
+    return F.array_distinct(F.filter(F.flatten(F.transform(three, lambda x: F.array(x, _uncomma(x)))), lambda x: x != ""))
 
 
 def parsed(content: Column) -> Column:
     """struct(payload variant, reading, fault): the first reading that is JSON; fault is null, `empty`, `malformed` or `no object`."""
-    texts = repairs(content)
-    good = F.filter(texts, lambda t: F.try_parse_json(t).isNotNull())
-    reading = F.get(good, F.lit(0))
-    payload = F.try_parse_json(reading)
-    fault = (
-        F.when(F.size(texts) == 0, "empty")
-        .when(reading.isNull(), "malformed")
-        .when(~F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), "no object")
-    )
-    return F.struct(F.when(fault.isNull(), payload).alias("payload"), reading.alias("reading"), fault.alias("fault"))
+
+    def first(texts: Column) -> Column:
+        good = F.filter(texts, lambda t: F.try_parse_json(t).isNotNull())
+        return F.struct(F.get(good, F.lit(0)).alias("reading"), F.size(texts).alias("n"))
+
+    def typed(found: Column) -> Column:
+        payload = F.try_parse_json(found["reading"])
+        fault = (
+            F.when(found["n"] == 0, "empty")
+            .when(found["reading"].isNull(), "malformed")
+            .when(~F.startswith(F.schema_of_variant(payload), F.lit("OBJECT")), "no object")
+        )
+        return F.struct(F.when(fault.isNull(), payload).alias("payload"), found["reading"].alias("reading"), fault.alias("fault"))
+
+    return let(let(repairs(content), first), typed)
 
 
 def candidate_rows(answers: DataFrame, allowed: list[str], content: str = "content", list_key: str = "candidates") -> DataFrame:

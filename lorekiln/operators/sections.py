@@ -115,10 +115,9 @@ def page_chunks(pages: DataFrame, keys: list[str], text: str = "text", most: int
 
 
 def chunk_page(text: str | None, most: int = 1000) -> list[str]:
-    """Paragraphs of a page; a longer one is repacked by sentences, each closed by a full stop."""
+    """chunk_array of one text, in plain Python."""
     out = []
     for para in (text or "").split("\n\n"):
-        para = para.strip()
         if len(para) <= most:
             out.append(para)
             continue

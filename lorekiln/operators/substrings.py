@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekiln.functions.text import let
+
+#: Seeds that a pattern finds: 16 characters from certain letters on. Strings that have none take the first of SCALES that they are long enough for.
+MARKED = r"(?s)(?=([aeo][^aeo].{14}))"
 #: (shortest string, characters of a seed, seeds that compete for a place): longer strings have longer and rarer seeds.
 SCALES = ((31, 16, 16), (15, 8, 8), (7, 4, 4), (3, 2, 2), (1, 1, 1))
 
@@ -17,9 +21,16 @@ def seeds(text: Column, size: int, rivals: int) -> Column:
     runs = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)), lambda r: F.xxhash64(r))
     if rivals == 1:
         return F.array_distinct(runs)
-    starts = F.sequence(F.lit(1), F.size(runs) - (rivals - 1))
-    least = F.when(F.size(runs) >= rivals, F.transform(starts, lambda i: F.array_min(F.slice(runs, i, rivals))))
-    return F.array_distinct(F.coalesce(least, F.array().cast("array<long>")))
+
+    def least(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(h) - (rivals - 1))
+        return F.when(F.size(h) >= rivals, F.transform(starts, lambda i: F.array_min(F.slice(h, i, rivals))))
+
+    return F.array_distinct(F.coalesce(let(runs, least), F.array().cast("array<long>")))
+
+
+def marked_seeds(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(MARKED), F.lit(1)), lambda r: F.xxhash64(r)))
 
 
 def holding(texts: DataFrame, strings: DataFrame, keep: list[str], text: str = "text", string: str = "string", within: tuple[str, ...] = ()) -> DataFrame:
@@ -33,17 +44,17 @@ def holding(texts: DataFrame, strings: DataFrame, keep: list[str], text: str = "
     scale = F.lit(None).cast("int")
     for i, (least, _, _) in reversed(list(enumerate(SCALES))):
         scale = F.when(F.length(string) >= least, i).otherwise(scale)
-    known = known.withColumn("_scale", scale)
-    used = sorted(r["_scale"] for r in known.select("_scale").distinct().collect())  # five at most
+    known = known.withColumn("_scale", F.when(F.col(string).rlike(MARKED), len(SCALES)).otherwise(scale))
+    used = sorted(r["_scale"] for r in known.select("_scale").distinct().collect())  # six at most
     asked = known.select(*within, F.col(string).alias("_string"), "_scale").distinct()
     names = [*keep, *(c for c in within if c not in keep)]
     met = None
     for i in used:
-        _, size, rivals = SCALES[i]
-        mine = asked.where(F.col("_scale") == i).select(*within, "_string", F.explode(seeds(F.col("_string"), size, rivals)).alias("_seed"))
+        of = marked_seeds if i == len(SCALES) else lambda text, size=SCALES[i][1], rivals=SCALES[i][2]: seeds(text, size, rivals)
+        mine = asked.where(F.col("_scale") == i).select(*within, "_string", F.explode(of(F.col("_string"))).alias("_seed"))
         shared = mine.groupBy(*within, "_seed").agg(F.count("*").alias("_n"))
         rarest = mine.join(shared, [*within, "_seed"]).groupBy(*within, "_string").agg(F.min_by("_seed", F.struct("_n", "_seed")).alias("_seed"))
-        found = texts.select(*names, F.explode(seeds(F.col(text), size, rivals)).alias("_seed")).join(rarest, [*within, "_seed"]).select(*names, "_string")
+        found = texts.select(*names, F.explode(of(F.col(text))).alias("_seed")).join(rarest, [*within, "_seed"]).select(*names, "_string")
         met = found if met is None else met.unionByName(found)
     if met is None:
         met = texts.select(*names, F.lit("").alias("_string")).limit(0)
