@@ -22,7 +22,7 @@ from lorekiln.llm.store import shared_folder
 BLOCK_DOCS = 64
 PERIOD = 10_000  # slots that a row of the schedule spans at most
 PLANNED = 1 << 20  # slots of the schedule that the driver holds at once; a longer one is written to the shared folder in parts
-RUN = 8192  # documents of a source that are ranked together, on average
+RUN = 1024  # documents of a source that are ranked together, on average
 
 
 def _whole(weights: np.ndarray) -> list[int]:
@@ -177,6 +177,7 @@ def mix_sources(
     first, end = F.floor(F.col("before") / block_docs), F.floor((F.col("before") + F.col("n") - 1) / block_docs)
     buckets = (
         before.withColumn("block", F.explode(F.sequence(first, end)))
+        .repartition("none", "name", "block")  # else a source's blocks would stay where its window was
         .join(plan, ["none", "name", "block"])
         .groupBy(*keys, "before")
         .agg(F.sort_array(F.collect_list(F.struct("block", "slot"))).alias("slots"))
