@@ -548,17 +548,18 @@ def merge_candidates(spark, sf_dir):
     return merge.merged_objects(T.layers(spark, sf_dir), "concept_id", list(T.LAYER_ORDER))
 
 
-@query("""SELECT c_custkey AS k, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal + 1 ELSE o.c_acctbal END AS v, CASE WHEN n.c_custkey IS NOT NULL THEN 'new' ELSE 'kept' END AS side
-FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) n USING (c_custkey)""")
+@query("""SELECT k, coalesce(n.v, o.v) AS v, CASE WHEN n.v IS NOT NULL THEN 'new' ELSE 'kept' END AS side
+FROM (SELECT c_custkey AS k, c_acctbal AS v FROM customer) o FULL JOIN (SELECT o_orderkey AS k, o_totalprice AS v FROM orders) n USING (k)""")
 def upsert_match(spark, sf_dir):
     c = T.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    return merge.upsert(c.where("k % 3 <> 0"), c.where("k % 2 = 0").withColumn("v", F.col("v") + 1), "k")
+    return merge.upsert(c, T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), "k")
 
 
-@query("""SELECT DISTINCT p_brand, p_type FROM part WHERE p_size > 25 AND (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part WHERE p_size <= 5)""")
+@query("""SELECT DISTINCT p_brand, p_type FROM part WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_tax = 0 AND l_discount = 0)""")
 def insert_if_new(spark, sf_dir):
-    p = T.read(spark, sf_dir, "part").select("p_brand", "p_type", "p_size")
-    return merge.insert_new(p.where("p_size <= 5"), p.where("p_size > 25").select("p_brand", "p_type"), ["p_brand", "p_type"])
+    p = T.read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    there = T.read(spark, sf_dir, "lineitem").where("l_tax = 0 AND l_discount = 0").join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return merge.insert_new(there, p.select("p_brand", "p_type"), ["p_brand", "p_type"])
 
 
 @query("""SELECT l_partkey, l_suppkey, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1""")

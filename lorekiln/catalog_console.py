@@ -22,7 +22,7 @@ def _shown(column: str, limit: int) -> str:
 
 
 @query(f"""WITH e AS (SELECT l_orderkey AS doc, l_linenumber AS chunk, l_returnflag AS kind, l_partkey, l_suppkey, {_picked(_BLANK_TITLES, 'l_partkey % 4')} AS title, {_picked(_BLANK_TITLES, 'l_suppkey % 4')} AS summary, {_picked(_EXCERPTS, 'l_partkey % 6')} AS excerpt FROM lineitem),
-a AS (SELECT l_orderkey AS doc, l_linenumber AS chunk, l_returnflag AS kind, arg_max(p_name, p_partkey) AS t, arg_max(CASE WHEN p_size > 20 THEN p_type ELSE '' END, p_partkey) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 25 GROUP BY ALL)
+a AS (SELECT l_orderkey AS doc, l_linenumber AS chunk, l_returnflag AS kind, arg_max(c_name, c_custkey) AS t, arg_max(CASE WHEN c_acctbal > 2000 THEN c_mktsegment ELSE '' END, c_custkey) AS s FROM lineitem JOIN customer ON l_orderkey = c_custkey GROUP BY ALL)
 SELECT doc, chunk, l_partkey, l_suppkey, coalesce(nullif(trim(title), ''), nullif(t, ''), CASE WHEN regexp_matches(coalesce(excerpt, ''), '[一-鿿]') THEN {_shown('excerpt', 28)} ELSE 'key' || l_partkey END) AS title,
 coalesce(nullif(trim(summary), ''), nullif(s, ''), {_shown('excerpt', 80)}) AS summary, t IS NOT NULL AS traced FROM e LEFT JOIN a USING (doc, chunk, kind)""")
 def review_center(spark, sf_dir):
@@ -32,8 +32,8 @@ def review_center(spark, sf_dir):
         *trace, "l_partkey", "l_suppkey", _pick(_BLANK_TITLES, F.col("l_partkey") % 4).alias("title"), _pick(_BLANK_TITLES, F.col("l_suppkey") % 4).alias("summary"),
         _pick(_EXCERPTS, F.col("l_partkey") % 6).alias("excerpt"), F.concat(F.lit("key"), "l_partkey").alias("key_candidate"),
     )
-    p = T.read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("title"), F.when(F.col("p_size") > 20, F.col("p_type")).otherwise("").alias("summary"))
-    assets = li.where("l_quantity > 25").join(p, F.col("l_partkey") == F.col("p_partkey")).select(*trace, F.col("p_partkey").alias("asset"), "title", "summary")
+    c = T.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("title"), F.when(F.col("c_acctbal") > 2000, F.col("c_mktsegment")).otherwise("").alias("summary"))
+    assets = li.join(c, F.col("l_orderkey") == F.col("c_custkey")).select(*trace, F.col("c_custkey").alias("asset"), "title", "summary")
     return console.review_center(entries, assets).select("doc", "chunk", "l_partkey", "l_suppkey", "title", "summary", "traced")
 
 
@@ -84,7 +84,7 @@ def supporting_evidence(spark, sf_dir):
 # ---------------------------------------------------------------- documents
 
 
-@query("""WITH n AS (SELECT l_orderkey AS doc, count(*) AS n FROM lineitem WHERE l_linenumber > 3 GROUP BY 1), t AS (SELECT l_orderkey AS doc, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+@query("""WITH n AS (SELECT user_id AS doc, count(*) AS n FROM events GROUP BY 1), t AS (SELECT l_orderkey AS doc, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
 k AS (SELECT l_orderkey AS doc, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS c, count(DISTINCT l_partkey) AS n_linked FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'A' GROUP BY 1)
 SELECT o_orderkey AS doc, CASE WHEN n.n > 0 THEN 'chunked' WHEN o_orderstatus = 'F' THEN 'parsed' ELSE 'imported' END AS status, coalesce(t.c, k.c, '') AS classes, coalesce(n_linked, 0)::BIGINT AS n_linked
 FROM orders LEFT JOIN n ON n.doc = o_orderkey LEFT JOIN t ON t.doc = o_orderkey LEFT JOIN k ON k.doc = o_orderkey""")
@@ -92,15 +92,15 @@ def document_console(spark, sf_dir):
     li = T.read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc")
     o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.when(F.col("o_orderstatus") == "F", "parsed").alias("parse_status"))
     links = li.where("l_returnflag = 'A'").join(T.read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("doc", F.col("l_partkey").alias("asset"), F.col("p_type").alias("class_id"))
-    return console.document_console(o, li.where("l_linenumber > 3"), li.where("l_returnflag = 'R'").select("doc", F.col("l_linestatus").alias("class_id")), links)
+    return console.document_console(o, T.read(spark, sf_dir, "events").withColumnRenamed("user_id", "doc"), li.where("l_returnflag = 'R'").select("doc", F.col("l_linestatus").alias("class_id")), links)
 
 
-@query("""WITH l AS (SELECT p_type AS class_id, max(CASE WHEN p_size = 50 THEN p_name ELSE ' ' END) AS en, max(CASE WHEN p_size > 30 THEN p_brand END) AS first_label FROM part WHERE p_size <> 7 GROUP BY 1)
+@query("""WITH l AS (SELECT p_type AS class_id, max(CASE WHEN p_size = 50 THEN p_name ELSE ' ' END) AS en, max(CASE WHEN p_size > 30 THEN p_brand END) AS first_label FROM part GROUP BY 1)
 SELECT DISTINCT p_brand AS domain, p_type AS class_id, coalesce(nullif(trim(en), ''), first_label, p_type) AS label FROM part JOIN l ON p_type = class_id""")
 def class_labels(spark, sf_dir):
     p = T.read(spark, sf_dir, "part")
     en = F.max(F.when(F.col("p_size") == 50, F.col("p_name")).otherwise(" ")).alias("en")
-    labels = p.where("p_size <> 7").groupBy(F.col("p_type").alias("class_id")).agg(en, F.max(F.when(F.col("p_size") > 30, F.col("p_brand"))).alias("primary_label"))
+    labels = p.groupBy(F.col("p_type").alias("class_id")).agg(en, F.max(F.when(F.col("p_size") > 30, F.col("p_brand"))).alias("primary_label"))
     return console.class_labels(p.select(F.col("p_brand").alias("domain"), F.col("p_type").alias("class_id")), labels, "en")
 
 
@@ -127,7 +127,7 @@ _LEAF = {"c": "o_orderkey % 3 = 0", "d": "s_nationkey < 15"}
 
 
 @query(f"""WITH c AS (SELECT o_orderkey, {_picked(_LAYER_NAMES, 'o_custkey % 6')} AS name, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE '' END AS summary, o_orderpriority AS authority FROM orders WHERE {_LEAF['c']}), d AS (SELECT s_suppkey, s_name AS name, '' AS summary, NULL AS authority FROM supplier WHERE {_LEAF['d']}),
-e AS (SELECT l_partkey, l_orderkey, CASE WHEN l_linenumber > 2 THEN l_returnflag ELSE '' END AS quote, CASE WHEN c.o_orderkey IS NULL THEN d.name ELSE c.name END AS name, CASE WHEN c.o_orderkey IS NULL THEN d.summary ELSE c.summary END AS summary, c.authority FROM lineitem LEFT JOIN c ON l_orderkey = o_orderkey LEFT JOIN d ON l_suppkey = s_suppkey WHERE l_quantity > 30),
+e AS (SELECT l_partkey, l_orderkey, CASE WHEN l_linenumber > 2 THEN l_returnflag ELSE '' END AS quote, CASE WHEN c.o_orderkey IS NULL THEN d.name ELSE c.name END AS name, CASE WHEN c.o_orderkey IS NULL THEN d.summary ELSE c.summary END AS summary, c.authority FROM lineitem LEFT JOIN c ON l_orderkey = o_orderkey LEFT JOIN d ON l_suppkey = s_suppkey),
 j AS (SELECT p_partkey, l_orderkey, quote, summary, authority, p_brand, CASE WHEN length(trim(name)) >= 2 AND (regexp_matches(trim(name), '[一-鿿]{{2,}}') OR regexp_matches(trim(name), '[A-Za-z].*[A-Za-z]')) THEN trim(name) ELSE p_name END AS title FROM part LEFT JOIN e ON l_partkey = p_partkey)
 SELECT p_partkey AS ko_id, l_orderkey AS chunk_id, title, coalesce(nullif(quote, ''), nullif(summary, ''), title) AS summary, coalesce(authority, p_brand) AS authority FROM j""")
 def object_candidates(spark, sf_dir):
@@ -136,7 +136,7 @@ def object_candidates(spark, sf_dir):
     by_chunk = T.read(spark, sf_dir, "orders").where(_LEAF["c"]).select(F.col("o_orderkey").alias("chunk_id"), layer(_pick(_LAYER_NAMES, F.col("o_custkey") % 6), told, F.col("o_orderpriority")))
     by_doc = T.read(spark, sf_dir, "supplier").where(_LEAF["d"]).select(F.col("s_suppkey").alias("doc_id"), layer(F.col("s_name"), F.lit(""), F.lit(None).cast("string")))
     quote = F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).otherwise("").alias("quote")
-    evidence = T.read(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("ko_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("doc_id"), quote)
+    evidence = T.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ko_id"), F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("doc_id"), quote)
     objects = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ko_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("authority"))
     return console.object_candidates(objects, evidence, by_chunk, by_doc)
 

@@ -326,13 +326,13 @@ def curation_filled(spark, sf_dir):
     return T.read(spark, sf_dir, "orders").select("o_orderkey", *fields)
 
 
-@query("""WITH r AS (SELECT o_custkey % 40 AS surface, CASE WHEN o_totalprice > 60000 THEN 'passed' ELSE 'failed' END AS status, o_orderkey % 5 AS passed, o_orderkey % 3 AS failed FROM orders WHERE o_custkey % 40 <> 7),
+@query("""WITH r AS (SELECT o_custkey % 40 AS surface, CASE WHEN o_totalprice > 60000 THEN 'passed' ELSE 'failed' END AS status, o_orderkey % 5 AS passed, o_orderkey % 3 AS failed FROM orders),
 g AS (SELECT surface, count(*) AS n, bool_and(status = 'passed') AS ok, sum(passed) AS passed, sum(failed) AS failed FROM r GROUP BY 1)
-SELECT s AS surface, CASE WHEN n IS NULL THEN 'pending' WHEN ok THEN 'passed' ELSE 'failed' END AS status, coalesce(n, 0)::BIGINT AS report_count, coalesce(passed, 0)::BIGINT AS passed, coalesce(failed, 0)::BIGINT AS failed FROM range(40) t(s) LEFT JOIN g ON s = surface""")
+SELECT s AS surface, CASE WHEN n IS NULL THEN 'pending' WHEN ok THEN 'passed' ELSE 'failed' END AS status, coalesce(n, 0)::BIGINT AS report_count, coalesce(passed, 0)::BIGINT AS passed, coalesce(failed, 0)::BIGINT AS failed FROM range(48) t(s) LEFT JOIN g ON s = surface""")
 def surface_rollup(spark, sf_dir):
-    o = T.read(spark, sf_dir, "orders").where("o_custkey % 40 <> 7")
+    o = T.read(spark, sf_dir, "orders")
     r = o.select((F.col("o_custkey") % 40).cast("long").alias("surface"), F.when(F.col("o_totalprice") > 60000, "passed").otherwise("failed").alias("status"), (F.col("o_orderkey") % 5).alias("passed"), (F.col("o_orderkey") % 3).alias("failed"))
-    return evidence.surface_rollup(r, spark.range(40).withColumnRenamed("id", "surface"))
+    return evidence.surface_rollup(r, spark.range(48).withColumnRenamed("id", "surface"))
 
 
 @query(f"""WITH {T.CHUNKS_SQL}, p AS (SELECT doc_id, (chunk_index - 1) // 4 AS page_no, count(*) AS n_chunks, md5(string_agg(text, chr(10) ORDER BY chunk_index)) AS texts FROM chunks GROUP BY 1, 2)
@@ -425,11 +425,11 @@ def expectation_coverage(spark, sf_dir):
     return b.join(d, "item_id").select("item_id", found.alias("found"), F.size("expected").cast("long").alias("n_expected"))
 
 
-@query("""WITH a AS (SELECT l_partkey AS ko_id, count(*) AS n_images, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber) AS images FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1)
+@query("""WITH a AS (SELECT l_partkey AS ko_id, count(*) AS n_images, string_agg(l_orderkey::VARCHAR, ',' ORDER BY l_orderkey, l_linenumber) AS images FROM lineitem GROUP BY 1)
 SELECT p_partkey AS ko_id, coalesce(n_images, 0)::BIGINT AS n_images, coalesce(images, '') AS images FROM part LEFT JOIN a ON p_partkey = ko_id""")
 def visual_evidence(spark, sf_dir):
-    """Every object with its anchored images, none for most."""
-    a = T.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").groupBy(F.col("l_partkey").alias("ko_id"))
+    """Every object with its anchored images."""
+    a = T.read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("ko_id"))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))), lambda x: x["l_orderkey"].cast("string")), ",")
     objects = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ko_id"))
     return objects.join(a.agg(F.count("*").alias("n_images"), listed.alias("images")), "ko_id", "left").fillna({"n_images": 0, "images": ""})
