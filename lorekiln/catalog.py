@@ -672,7 +672,8 @@ def feedback_dedup(spark, sf_dir):
 
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark, sf_dir):
-    out = feedback.collected(feedback.windowed(_streamed(spark, sf_dir)), spark)
+    out, state = T.scratch(spark, "windows"), T.scratch(spark, "windows-state")
+    out = feedback.upserted(feedback.windowed(_streamed(spark, sf_dir)), ["w", "event_type"], out, state)
     return out.select(F.to_date("w.start").alias("day"), "event_type", "n", F.bround("total", 4).alias("total"))
 
 

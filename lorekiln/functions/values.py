@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lorekiln.functions.text import let
+
 #: Rank of each authority level.
 AUTHORITY_RANK = {
     "field_observation": 6,
@@ -57,36 +59,48 @@ def numeric(x: Column) -> Column:
     return F.coalesce(s.try_cast("double"), F.when(found != "", found.try_cast("double")))
 
 
-def _unit(x: Column, pattern: str) -> tuple[Column, Column]:
+def _unit(x: Column, pattern: str) -> Column:
+    """struct(n, unit) of a number with its unit."""
     s = F.regexp_replace(F.lower(F.trim(x)), " ", "")
-    return F.regexp_extract(s, pattern, 1).try_cast("double"), F.regexp_extract(s, pattern, 2)
+    return let(s, lambda v: F.struct(F.regexp_extract(v, pattern, 1).try_cast("double").alias("n"), F.regexp_extract(v, pattern, 2).alias("unit")))
 
 
 def celsius(x: Column) -> Column:
-    n, unit = _unit(x, "^(-?\\d+\\.?\\d*)°?([fc])$")
-    return F.when(unit == "f", (n - 32) * 5 / 9).when(unit == "c", n)
+    return let(_unit(x, "^(-?\\d+\\.?\\d*)°?([fc])$"), lambda u: F.when(u["unit"] == "f", (u["n"] - 32) * 5 / 9).when(u["unit"] == "c", u["n"]))
 
 
 def bar(x: Column) -> Column:
-    n, unit = _unit(x, r"^(\d+\.?\d*)(psi|bar|mpa|kpa)$")
-    return F.when(unit == "psi", n * 0.0689476).when(unit == "mpa", n * 10).when(unit == "kpa", n / 100).when(unit == "bar", n)
+    of = lambda u: F.when(u["unit"] == "psi", u["n"] * 0.0689476).when(u["unit"] == "mpa", u["n"] * 10).when(u["unit"] == "kpa", u["n"] / 100).when(u["unit"] == "bar", u["n"])
+    return let(_unit(x, r"^(\d+\.?\d*)(psi|bar|mpa|kpa)$"), of)
 
 
 def _near(a: Column, b: Column, share: float, floor: float) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(floor)) <= share
 
 
+PLAIN = r"^[-+]?\d+(\.\d+)?$"
+
+
 def values_agree(a: Column, b: Column) -> Column:
     """Empty values agree with all; then equal texts; temperatures and pressures within 10 % across units; numbers within 5 %."""
-    ta, tb, pa, pb, na, nb = celsius(a), celsius(b), bar(a), bar(b), numeric(a), numeric(b)
-    return (
-        F.when(is_empty(a) | is_empty(b), True)
-        .when(F.lower(F.trim(a)) == F.lower(F.trim(b)), True)
-        .when(ta.isNotNull() & tb.isNotNull(), _near(ta, tb, 0.10, 1.0))
-        .when(pa.isNotNull() & pb.isNotNull(), _near(pa, pb, 0.10, 1.0))
-        .when(na.isNotNull() & nb.isNotNull(), numbers_agree(na, nb))
-        .otherwise(False)
-    )
+    plain = lambda x: F.coalesce(F.trim(x).rlike(PLAIN), F.lit(False))
+    read = lambda x: F.struct(celsius(x).alias("t"), bar(x).alias("p"), numeric(x).alias("n"), is_empty(x).alias("e"), F.lower(F.trim(x)).alias("s"))
+
+    def cascade(z: Column) -> Column:
+        x, y = z["x"], z["y"]
+        both = lambda c: x[c].isNotNull() & y[c].isNotNull()
+        return (
+            F.when(x["e"] | y["e"], True)
+            .when(x["s"] == y["s"], True)
+            .when(both("t"), _near(x["t"], y["t"], 0.10, 1.0))
+            .when(both("p"), _near(x["p"], y["p"], 0.10, 1.0))
+            .when(both("n"), numbers_agree(x["n"], y["n"]))
+            .otherwise(False)
+        )
+
+    numbers = numbers_agree(F.trim(a).try_cast("double"), F.trim(b).try_cast("double"))
+    # most values are plain numbers: then no other pattern is tried
+    return F.when(plain(a) & plain(b), numbers).otherwise(let(F.struct(read(a).alias("x"), read(b).alias("y")), cascade))
 
 
 def numbers_agree(a: Column, b: Column, share: float = 0.05) -> Column:

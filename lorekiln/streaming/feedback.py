@@ -35,6 +35,24 @@ def run_to_end(stream: DataFrame, mode: str, out_dir: str, checkpoint: str) -> N
     query.awaitTermination()
 
 
+def upserted(stream: DataFrame, keys: list[str], out_dir: str, checkpoint: str) -> DataFrame:
+    """The latest row of each key of a stream that has been run over all that is there.
+
+    Each batch writes the rows that it changed to a folder of its own, as a whole, so a batch that is tried again leaves the same files; state
+    goes as the watermark passes, and what is read back is the last batch's row of each key.
+    """
+    out = f"{out_dir}/changes"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    changes = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def collected(stream: DataFrame, spark: SparkSession, mode: str = "complete") -> DataFrame:
     """The result table of a stream that has been run over all that is there (for tests and small results)."""
     name = f"stream_{uuid.uuid4().hex}"

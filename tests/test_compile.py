@@ -252,3 +252,19 @@ def test_candidates_stand_on_quotes_else_on_terms(spark):
     got = {r.candidate_id: (r.chunk_id, r.page_no, r.n_chunks, r.reason) for r in candidates.anchored(spark.createDataFrame(asked, "candidate_id string, doc_id long, quote string, code string"), chunks, ["code"]).collect()}
     none = (None, None, 0, "rejected")
     assert got == {"q1": ("c1", 1, 2, "verbatim"), "q2": ("c1", 1, 2, "repaired"), "q3": none, "q4": none, "q5": none}
+
+
+def test_windows_are_the_last_of_their_changes(spark, tmp_path):
+    import datetime as dt
+
+    from lorekiln.streaming import feedback
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    schema = "ts timestamp, event_type string, value double"
+    for part, hours in enumerate([(1, 2, 30), (3, 31, 55)]):
+        spark.createDataFrame([(at(h), "view", 1.0) for h in hours], schema).write.parquet(f"{tmp_path}/in/{part}")
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    run = lambda: feedback.upserted(feedback.windowed(stream(), late="100 hours"), ["w", "event_type"], f"{tmp_path}/out", f"{tmp_path}/state")
+    want = [(0, 3), (1, 2), (2, 1)]
+    for _ in range(2):  # a second run finds nothing new and leaves the result
+        assert sorted(((r.w.start - at(0)).days, r.n) for r in run().collect()) == want
