@@ -311,8 +311,9 @@ def count_ids(tokens: DataFrame) -> Table | None:
 def write_token_files(docs: DataFrame, out_dir: str, path: str, order: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Table | None:
     """Write every row's ids, each with the end id, to block files in out_dir in ascending order; returns the table.
 
-    order defaults to the doc_id; ties go by the ids' number and content, null ids come first. Null texts have the end id alone. A partition of the
-    files is a range of the order and names its blocks by their place in it.
+    order defaults to the doc_id; ties go by the ids' number and content, null ids come first. Null texts have the end id alone; a very long text is one block
+    alone; rows that repeat are each written; other columns are ignored. A partition of the files is a range of the order and names its blocks by their place in it. An empty table
+    gives no table and files without rows.
     """
     order = order or [F.col(id_col)]
     tokens = tokenize(docs, path, order, id_col, text_col)

@@ -268,7 +268,8 @@ def score_documents(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col:
     score is the probability that the document is labelled toxic; spans are the character offsets of runs of words
     whose marginal is 0.5 or more. Documents are read in place, without a shuffle. Null and empty texts have no
     words and get the score of a document without toxic words. If no label of one kind could be learned from, every
-    score is the share of toxic labels. Rows are never merged; other columns are ignored.
+    score is the share of toxic labels. Very long texts are scored whole, words at equal marginals stay apart, a score of just 0.5 is predicted toxic. Rows that
+    repeat, share a doc_id or have none are each scored; other columns are ignored; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = src.sparkSession.sparkContext.broadcast(crf)
@@ -286,7 +287,10 @@ def score_documents(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(docs: DataFrame, crf: Crf, text_col: str = "text") -> DataFrame:
-    """docs, with all their columns, without the rows that score 0.5 or more."""
+    """docs, with all their columns, without the rows that score 0.5 or more.
+
+    Rows are judged by their own whole texts, whatever their ids: nulls as score_documents scores them, repeated rows each; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
 
     def clean(batches):
