@@ -74,3 +74,58 @@ def test_named_roles_of_the_tables(spark):
         truth = turns.where("conv_id % 4 = 0").selectExpr("conv_id", "turn", "role AS truth")
         right, n = chat.format_chats(hidden).where("part = 0").join(truth, ["conv_id", "turn"]).selectExpr("sum(int(role = truth))", "count(*)").first()
         assert right > 0.9 * n, (sf, right, n)
+
+
+def plain_query(rows):
+    """Counts, then the likeliest roles of each whole conversation by a plain recursion over all its parts."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn, text, role))
+    lists = {}
+    for conv, turns in convs.items():
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or "", t[2] is not None, t[2] or ""))
+        for i, (turn, text, role) in enumerate(turns):
+            named = chat.role_of(role)
+            for j, (marked, tag, body, _) in enumerate(chat.parts_of(text)):
+                opens = i == 0 and j == 0 and (turn is None or turn < chat.SEGMENT)
+                feats = (marked, 0 if opens else 1 if j == 0 else 2, min(5, len(body).bit_length() // 2), int("?" in body[-3:]))
+                told = named if j == 0 else chat.UNKNOWN if named == chat.UNKNOWN else marked
+                seen = named if j == 0 and named != chat.UNKNOWN else marked if tag else chat.UNKNOWN
+                lists.setdefault(conv, []).append((turn, j, feats, told, seen, role))
+    counts = {}
+    for parts in lists.values():
+        for before, (_, j, feats, told, _, _) in zip([None, *parts], parts, strict=False):
+            if told == chat.UNKNOWN:
+                continue
+            found = [(str(k), told, feats[k]) for k in range(1, 4)]
+            found += [("0", told, feats[0])] if j == 0 else []
+            found += [("first", told, 0)] if feats[1] == 0 else []
+            found += [("move", before[3], told)] if before and before[3] != chat.UNKNOWN else []
+            for key in found:
+                counts[key] = counts.get(key, 0) + 1
+    model, out = chat.Model(counts), []
+    for conv, parts in lists.items():
+        score = lambda p, s: sum(model.emit[k][s, p[2][k]] for k in range(4)) + (0 if p[4] in (s, chat.UNKNOWN) else chat.SURE)
+        paths = {s: (model.first[s] + score(parts[0], s), [s]) for s in range(3)}
+        for p in parts[1:]:
+            paths = {s: max((v + model.move[r, s] + score(p, s), [*path, s]) for r, (v, path) in paths.items()) for s in range(3)}
+        for s, p in zip(max(paths.values())[1], parts, strict=True):
+            out.append((str(conv), str(p[0]), p[1], chat.ROLES[s], str(p[5])))
+    return sorted(out)
+
+
+def test_the_whole_query_matches_a_plain_recursion(spark, tmp_path):
+    import random
+
+    from lorekiln.llm import registry
+
+    rng, rows = random.Random(12), []
+    for c in range(120):
+        for t in range(rng.randrange(1, 9)):
+            role = ["user", "assistant"][t % 2] if rng.random() < 0.5 else rng.choice([None, "odd", "Human"])
+            text = rng.choice(["", None, "why?", "so it is " * rng.randrange(1, 60), "User: hi\nAssistant: yes", "<|assistant|>\nok", "Note: it"])
+            rows.append((c, t, role, text))
+    rows += [(500, t, None if t % 3 else ["user", "assistant"][t % 2], f"turn {t}") for t in range(200)] + [(None, None, None, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.op2_chat_formatting(spark, str(tmp_path)).collect()
+    assert sorted((str(r.conv_id), str(r.turn), r.part, r.role, str(r.named_role)) for r in got) == plain_query(rows)

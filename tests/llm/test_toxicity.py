@@ -70,3 +70,47 @@ def test_tables(spark):
     one_kind = tox.learn(docs, known.where("toxic = 0"))
     assert {r.score for r in tox.score_documents(docs, one_kind).collect()} == {0.0}
     assert tox.score_documents(docs.limit(0), tox.learn(docs.limit(0), known)).count() == 0
+
+
+def test_the_whole_query_matches_a_plain_forward_backward(spark, tmp_path):
+    import zlib
+
+    from lorekiln.llm import registry
+
+    texts, labels = corpus(300, 9)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(300, None), (301, ""), (302, "clean words " * 4000 + "Vileword"), (5, "Vileword zorgonic"), (None, texts[0])]
+    known = [(i, y) for i, y in enumerate(labels)] + [(7, 1 - labels[7]), (None, 1), (999, 1)]
+    spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(known, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    first = {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            first[i] = min(t, first.get(i, t))
+    taught = [(i, first[i], y) for i, y in enumerate(labels) if not out(i) and i != 7 and len(first[i]) <= tox.FIT_CHARS]
+    crf = tox.fit([t for _, t, _ in taught], [y for *_, y in taught])
+    move = np.exp(crf.move)
+
+    def plain(text):
+        buf = np.frombuffer((text or "").encode() + b"\n", np.uint8)
+        feats, _, _, bounds = tox.features(tox.tv.FOLD[buf], np.array([0, len(buf)]))
+        e = np.exp(tox.emissions(crf, feats))
+        n = bounds[-1]
+        ahead, back = np.ones((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            v = (ahead[t - 1] @ move if t else np.ones(2)) * np.array([1.0, e[t]])
+            ahead[t] = v / v.sum()
+        for t in range(n - 2, -1, -1):
+            v = move @ (back[t + 1] * np.array([1.0, e[t + 1]]))
+            back[t] = v / v.sum()
+        both = ahead * back
+        p = both[:, 1] / both.sum(1) if n else np.zeros(0)
+        most = min(max(p.max(), 1e-6), 1 - 1e-6) if n else 1e-6
+        x = np.array([1.0, np.log(most / (1 - most)), np.log1p(sum(v for v in p if v >= 0.2))])
+        return 1 / (1 + np.exp(-x @ crf.calibration))
+
+    got = sorted((str(r.doc_id), r.score, r.held_out, r.predicted) for r in registry.op5_toxicity(spark, str(tmp_path)).collect())
+    want = sorted((str(i), plain(t), out(i)) for i, t in rows)
+    assert [(a, h) for a, _, h, _ in got] == [(a, h) for a, _, h in want]
+    assert np.allclose([s for _, s, *_ in got], [s for _, s, _ in want], atol=1e-6)
+    assert all(p == int(s >= 0.5) for _, s, _, p in got)
