@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekiln.catalog import query
+from lorekiln.functions import headings
 from lorekiln.operators import answers, candidates, components, facet_rules, grouping, merge, merge_store, sections
 from lorekiln.operators.ordered import ranked
 from lorekiln.plans import tables as T
@@ -210,3 +211,21 @@ def ranks_in_hot_groups(spark, sf_dir):
     """Ranks and running sums of all line items in three groups."""
     li = T.read(spark, sf_dir, "lineitem")
     return ranked(li, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "at", "l_quantity").select("l_returnflag", "l_orderkey", "l_linenumber", "at", "used")
+
+
+# ---------------------------------------------------------------- headings
+
+_CLEAN = r"regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '^\d+(?:\.\d+)?\s+', '')), '\s+\d+\.\d+$', '')), '\s{{2,}}', ' ', 'g'), '^[ \-–—:•]+|[ \-–—:•]+$', '', 'g')"
+
+
+@query(rf"""WITH l0 AS (SELECT doc_id, [x for x in [regexp_replace(y, '^\s+|\s+$', '', 'g') for y in regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')] if x <> ''] AS ls FROM documents),
+l AS (SELECT doc_id, ls, unnest(ls[1:8]) AS raw, generate_subscripts(ls[1:8], 1) AS i FROM l0), c AS (SELECT *, {_CLEAN.format(x="raw")} AS c FROM l),
+j AS (SELECT *, lower(c) AS low, string_split(c, ' ') AS w, len(regexp_extract_all(c, '\p{{L}}')) AS letters, len(regexp_extract_all(c, '\p{{Lu}}')) AS upper FROM c),
+h AS (SELECT doc_id, arg_min(c, i) AS heading FROM j WHERE length(c) >= 4 AND low NOT IN ('untitled', 'chapter', 'section') AND NOT contains(raw, '•')
+  AND NOT (regexp_matches(rtrim(raw), '[.;:]$') AND NOT regexp_matches(raw, '^\d+(?:\.\d+){{0,2}}\s+')) AND letters >= 3 AND len(w) <= 14
+  AND (regexp_matches(low, '^(chapter|appendix)\b') OR regexp_matches(raw, '^\d+(?:\.\d+){{0,2}}\s+[A-Z0-9]') OR (upper >= 0.75 * letters AND len(w) <= 12)
+    OR (len(w) <= 8 AND len([x for x in w if regexp_matches(x, '^\p{{Lu}}')]) >= greatest(2, len(w) - 1))) GROUP BY 1)
+SELECT doc_id, CASE WHEN len(ls) >= 2 AND regexp_matches(ls[1], '(?i)^\d+(?:\.\d+)?\s*chapter\b') THEN coalesce(nullif({_CLEAN.format(x="ls[2]")}, ''), {_CLEAN.format(x="ls[1]")}) ELSE heading END AS heading
+FROM l0 LEFT JOIN h USING (doc_id)""")
+def page_headings(spark, sf_dir):
+    return T.read(spark, sf_dir, "documents").select("doc_id", headings.page_heading(F.col("text")).alias("heading"))

@@ -268,3 +268,31 @@ def test_windows_are_the_last_of_their_changes(spark, tmp_path):
     want = [(0, 3), (1, 2), (2, 1)]
     for _ in range(2):  # a second run finds nothing new and leaves the result
         assert sorted(((r.w.start - at(0)).days, r.n) for r in run().collect()) == want
+
+
+def test_headings_of_pages(spark):
+    from lorekiln.functions import headings
+
+    cases = [
+        ("12 PUMP CONTROL\nThe pump runs.", "PUMP CONTROL"), ("3.2 chapter\nAir Handling Units", "Air Handling Units"), ("this is prose.\nSafety Notes And Limits", "Safety Notes And Limits"),
+        ("only prose here that goes on", None), ("CHAPTER\nsection\n1.2.3 Overview of", "1.2.3 Overview of"), ("Appendix b of it:", None), ("appendix b of it", "appendix b of it"),
+        ("•\tBullet Point List", None), ("Ünder Ärea", "Ünder Ärea"), ("", None), (None, None), ("\n".join(["prose line goes on"] * 8 + ["Late Heading"]), None),
+        ("A B C D E F G H I J K L M N O", None), ("Running Head Words\nReal Title", "Real Title"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, t string")
+    got = {r.i: r.h for r in df.select("i", headings.page_heading(F.col("t"), titles=("running head",)).alias("h")).collect()}
+    assert got == {i: h for i, (_, h) in enumerate(cases)}
+
+
+def test_stages_note_what_they_wrote(spark, tmp_path):
+    from lorekiln.operators import stages
+
+    jobs, rows = f"{tmp_path}/jobs", spark.range(50).withColumn("bad", F.col("id") % 7 == 0)
+    stages.observed("j", "one", rows, lambda df: df.write.parquet(f"{tmp_path}/one"), jobs, F.col("bad"))
+    stages.observed("j", "none", rows.limit(0), lambda df: df.write.parquet(f"{tmp_path}/none"), jobs)
+    with pytest.raises(Exception, match="already exists"):
+        stages.observed("j", "two", rows, lambda df: df.write.mode("error").parquet(f"{tmp_path}/one"), jobs)
+    noted = {r.stage: (r.status, r.rows, r.faults) for r in spark.read.parquet(jobs).collect()}
+    assert noted == {"one": ("success", 50, 8), "none": ("success", 0, 0), "two": ("failed", None, None)}
+    assert spark.read.parquet(f"{tmp_path}/one").count() == 50
+    assert [(r.succeeded, r.failed, r.rows) for r in stages.job_summary(spark, jobs).collect()] == [(2, 1, 50)]
