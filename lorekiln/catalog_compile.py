@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.catalog import query
 from lorekiln.functions import headings
-from lorekiln.operators import answers, candidates, components, facet_rules, grouping, merge, merge_store, sections
+from lorekiln.operators import answers, candidates, facet_rules, fixtures, grouping, merge, merge_store, sections
 from lorekiln.operators.ordered import ranked
 from lorekiln.plans import tables as T
 
@@ -229,3 +229,38 @@ SELECT doc_id, CASE WHEN len(ls) >= 2 AND regexp_matches(ls[1], '(?i)^\d+(?:\.\d
 FROM l0 LEFT JOIN h USING (doc_id)""")
 def page_headings(spark, sf_dir):
     return T.read(spark, sf_dir, "documents").select("doc_id", headings.page_heading(F.col("text")).alias("heading"))
+
+
+# ---------------------------------------------------------------- fixtures
+
+_PAGE = "1 + (chunk_index - 1) // 4"
+
+
+@query(f"""WITH {T.CHUNKS_SQL}, s AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS stored FROM documents),
+c AS (SELECT DISTINCT stored, {_PAGE} AS page_no, chunk_index, lang, split_part(text, ' ', 1) AS w FROM chunks JOIN s USING (doc_id))
+SELECT 'documents' AS tbl, count(DISTINCT stored) AS n, NULL AS parents FROM s UNION ALL SELECT 'pages', count(DISTINCT (stored, page_no)), count(DISTINCT stored) FROM c
+UNION ALL SELECT 'chunks', count(DISTINCT (stored, page_no, chunk_index)), count(DISTINCT (stored, page_no)) FROM c UNION ALL SELECT 'objects', count(DISTINCT (lang, w)), NULL FROM c
+UNION ALL SELECT 'evidence', count(DISTINCT (lang, w, stored, page_no, chunk_index)), count(DISTINCT (lang, w)) FROM c""")
+def fixture_tables(spark, sf_dir):
+    """Every document as a nested fixture, expanded in one pass; copies of a text are stored under its smallest id."""
+    d = T.read(spark, sf_dir, "documents")
+    c = T.chunks(spark, sf_dir).withColumn("page_no", F.floor((F.col("chunk_index") - 1) / 4) + 1)
+    thing = F.struct(F.concat_ws(":", "lang", F.split("text", " ")[0]).alias("key"), F.col("lang").alias("title"), F.lit("primary").alias("role"))
+    pages = c.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", F.array(thing).alias("objects")))).alias("chunks"))
+    nested = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "chunks"))).alias("pages"))
+    whole = d.select("doc_id", F.sha2("text", 256).alias("file_hash"), F.col("source").alias("title")).join(nested, "doc_id", "left")
+    content = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "file_hash", "title", "pages"))
+    tables = fixtures.expand(whole.select(content.alias("content")), T.scratch(spark, "fixtures"))
+    stored = d.groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.min("doc_id").cast("string").alias("stored_id"))
+    known = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.sha2("text", 256).alias("file_hash")).join(stored, "file_hash").where("doc_id <> stored_id").select("doc_id", "stored_id")
+    out = None
+    for name, rows in tables.items():
+        if name == "evidence":  # an object's evidence names its chunk
+            at = fixtures.remapped(rows.select("doc_id", F.substring_index("key", "@", -1).alias("key"), "parent", F.substring_index("key", "@", 1).alias("payload")), known)
+            moved = at.select("doc_id", F.concat_ws("@", "payload", "key").alias("key"), "parent")
+        else:
+            moved = fixtures.remapped(rows, known)
+        parents = F.lit(None).cast("long") if name in ("documents", "objects") else F.countDistinct("parent")
+        one = moved.agg(F.lit(name).alias("tbl"), F.countDistinct("key").alias("n"), parents.alias("parents"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -296,3 +296,39 @@ def test_stages_note_what_they_wrote(spark, tmp_path):
     assert noted == {"one": ("success", 50, 8), "none": ("success", 0, 0), "two": ("failed", None, None)}
     assert spark.read.parquet(f"{tmp_path}/one").count() == 50
     assert [(r.succeeded, r.failed, r.rows) for r in stages.job_summary(spark, jobs).collect()] == [(2, 1, 50)]
+
+
+def test_fixtures_become_tables_in_one_pass(spark, tmp_path):
+    from lorekiln.operators import fixtures
+
+    full = {"doc_id": "d", "file_hash": "h", "title": "T", "pages": [{"page_no": 1, "chunks": [{"chunk_index": 0, "text": "x", "objects": [{"key": "k", "title": "K", "role": "p"}, {"key": None}]}, {"chunk_index": 1, "text": "y"}]}, {"page_no": 2}, None]}
+    rows = [json.dumps(full), json.dumps(full), json.dumps({"doc_id": "e"}), json.dumps({"title": "none"}), "no json", None, json.dumps({"doc_id": "d/2", "pages": []})]
+    out = {t: sorted(map(tuple, df.collect())) for t, df in fixtures.expand(spark.createDataFrame([(r,) for r in rows], "content string"), f"{tmp_path}/f").items()}
+    assert [r[0] for r in out["documents"]] == ["d", "d/2", "e"] and [r[0] for r in out["pages"]] == ["d/1", "d/2"]
+    assert [(k, p, json.loads(x)["text"]) for k, _, p, x in out["chunks"]] == [("d/1/0", "d/1", "x"), ("d/1/1", "d/1", "y")]
+    assert [r[0] for r in out["objects"]] == ["k"] and [(r[0], r[2]) for r in out["evidence"]] == [("k@d/1/0", "k")]
+    known = spark.createDataFrame([("d", "stored")], "doc_id string, stored_id string")
+    moved = fixtures.remapped(spark.createDataFrame(out["chunks"], "key string, doc_id string, parent string, payload string"), known).collect()
+    assert sorted((r.doc_id, r.key, r.parent) for r in moved) == [("stored", "stored/1/0", "stored/1"), ("stored", "stored/1/1", "stored/1")]
+
+
+def test_yaml_packages_round_trip(spark, tmp_path):
+    from lorekiln.sources import packages
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.yaml").write_text("points:\n  T: {subtype: temp, keywords: [Temperature, 温度]}\n  O: {subtype: oil, keywords: [oil temperature]}\n  N: {keywords: [x]}\npolarity:\n  high: {keywords: [over]}\nwhen: 2024-01-02\n", "utf-8")
+    (tmp_path / "in/sub/b.yml").write_text("[1, two]")
+    (tmp_path / "in/c.yaml").write_text("a: [1\nb: }")
+    (tmp_path / "in/d.yaml").write_text("just text")
+    docs = packages.yaml_documents(spark, f"{tmp_path}/in")
+    got = {r.path.rsplit("/", 1)[1]: (r.content is not None, r.fault) for r in docs.collect()}
+    assert got["a.yaml"] == got["b.yml"] == (True, None) and got["d.yaml"] == (False, "no mapping or list") and not got["c.yaml"][0] and got["c.yaml"][1]
+    rules = packages.rule_table(docs, {"points": "subtype", "polarity": None})
+    assert sorted((r.axis, r.value, r.keyword) for r in rules.collect()) == [("points", "oil", "oil temperature"), ("points", "temp", "Temperature"), ("points", "temp", "温度"), ("polarity", "high", "over")]
+    text = spark.createDataFrame([(1, "Oil Temperature is over"), (2, "温度")], "k long, text string")
+    assert {(r.k, r.axis): r.value for r in facet_rules.facets(text, rules, "k").collect()} == {(1, "points"): "oil", (1, "polarity"): "high", (2, "points"): "temp"}
+    body = docs.where("fault IS NULL").select(F.regexp_replace(F.substring_index("path", "/", -1), r"\..*", "").alias("name"), F.to_json("content").alias("content"))
+    for _ in range(2):
+        packages.write_yaml(body, f"{tmp_path}/out")
+    again = packages.yaml_documents(spark, f"{tmp_path}/out", "*.txt")
+    assert sorted(json.dumps(json.loads(r[0]), sort_keys=True) for r in again.select(F.to_json("content")).collect()) == sorted(json.dumps(json.loads(r.content), sort_keys=True) for r in body.collect())
