@@ -14,6 +14,7 @@ from fractions import Fraction
 from math import lcm
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +165,8 @@ def mix_sources(
     else:
         target = np.array([float(weights.get(r.source, 0.0)) for r in every])
     plan = _planned(spark, every, -(-sizes // block_docs), target)
-    parts = spark.createDataFrame([(r.none, r["name"], -(-r.n // RUN)) for r in every], "none boolean, name string, parts long")
+    # as an Arrow table its size is known to the optimizer: broadcast while that is small, joined else
+    parts = spark.createDataFrame(pa.table({"none": pa.array([r.none for r in every], pa.bool_()), "name": pa.array([r["name"] for r in every], pa.string()), "parts": pa.array([-(-r.n // RUN) for r in every], pa.int64())}))
     keys = ["none", "name", "bucket"]
     packed = packed.join(parts, ["none", "name"]).withColumn("bucket", F.pmod("h", "parts"))
     counts = packed.groupBy(*keys).agg(F.count("*").alias("n"))
