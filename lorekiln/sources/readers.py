@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekiln.sources import packages
+
 INVENTORY = (
     "batch_group string, batch_reason string, extraction_priority string, publisher_or_brand_guess string, authority_level_guess string, "
     "document_kind_guess string, equipment_scope_guess string, page_count string, text_quality string, recommended_extraction_mode string, "
@@ -68,10 +70,5 @@ def text_pages(files: DataFrame) -> DataFrame:
 
 
 def package(spark: SparkSession, path: str) -> DataFrame:
-    """A YAML domain package as key, values rows (needs PyYAML)."""
-    try:
-        import yaml
-    except ImportError as e:
-        raise RuntimeError("PyYAML is not installed; give packages as JSON") from e
-    lines = "\n".join(r.value for r in spark.read.text(path).coalesce(1).collect())
-    return spark.createDataFrame([(k, str(v)) for k, v in yaml.safe_load(lines).items()], "key string, value string")
+    """A YAML domain package as (key, value) rows, values as JSON text."""
+    return packages.entries(packages.yaml_documents(spark, path, "*")).select("key", F.to_json("value").alias("value"))

@@ -325,6 +325,9 @@ def test_yaml_packages_round_trip(spark, tmp_path):
     assert got["a.yaml"] == got["b.yml"] == (True, None) and got["d.yaml"] == (False, "no mapping or list") and not got["c.yaml"][0] and got["c.yaml"][1]
     rules = packages.rule_table(docs, {"points": "subtype", "polarity": None})
     assert sorted((r.axis, r.value, r.keyword) for r in rules.collect()) == [("points", "oil", "oil temperature"), ("points", "temp", "Temperature"), ("points", "temp", "温度"), ("polarity", "high", "over")]
+    from lorekiln.sources import readers
+
+    assert {r.key: json.loads(r.value) for r in readers.package(spark, f"{tmp_path}/in/a.yaml").collect()}["when"] == "2024-01-02"
     text = spark.createDataFrame([(1, "Oil Temperature is over"), (2, "温度")], "k long, text string")
     assert {(r.k, r.axis): r.value for r in facet_rules.facets(text, rules, "k").collect()} == {(1, "points"): "oil", (1, "polarity"): "high", (2, "points"): "temp"}
     body = docs.where("fault IS NULL").select(F.regexp_replace(F.substring_index("path", "/", -1), r"\..*", "").alias("name"), F.to_json("content").alias("content"))
