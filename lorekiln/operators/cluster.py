@@ -103,8 +103,12 @@ def complete_linkage(pairs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     kind = dict(pairs.dtypes)["a"]
     edges = cut(pairs.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).where("i < j").distinct())
-    parts = components(edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
-    nodes = cut(ranked(parts, ["component"], ["node"]).select("component", "node", F.floor(F.col("rank") / block).alias("block")))
+    ends = edges.select(F.explode(F.array("i", "j")).alias("node")).distinct()
+    if ends.limit(block + 1).count() <= block:  # one block holds them all: no components are needed to part them
+        nodes = ends.select(F.lit(None).cast(kind).alias("component"), "node", F.lit(0).cast("long").alias("block"))
+    else:
+        parts = components(edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+        nodes = cut(ranked(parts, ["component"], ["node"]).select("component", "node", F.floor(F.col("rank") / block).alias("block")))
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("block").alias(f"b{side}"))
     edges = cut(edges.join(of("i"), "i").join(nodes.withColumnsRenamed({"node": "j", "block": "bj"}), "j"))
     last = nodes.agg(F.max("block")).first()[0]
@@ -157,6 +161,6 @@ def tightened(rows: DataFrame, pairs: DataFrame, key: str, least: float, max_siz
         if large is None or large.isEmpty():
             return done
         a, b = large.toDF("a", "ca"), large.toDF("b", "cb")
-        near = near.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "similarity")
+        near = cut(near.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "similarity"))
         rest = rest.join(large.select(key), key, "left_semi")
         threshold = round(threshold + step, 10)
