@@ -129,7 +129,7 @@ def plain_groups(rows, aliases):
     return out
 
 
-@pytest.mark.parametrize("block", [5, 2048])
+@pytest.mark.parametrize("block", [12, 2048])
 def test_names_are_grouped_as_stage_after_stage_says(spark, monkeypatch, block):
     monkeypatch.setattr(cluster.complete_linkage, "__defaults__", (block,))
     rng = np.random.default_rng(11)
