@@ -760,4 +760,4 @@ def dotted_sections(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.array_join(F.transform(pairs, lambda x: x["s"]), ",").alias("ordered"))
 
 
-from lorekiln import catalog_compile, catalog_console, catalog_knowledge, catalog_publish  # noqa: E402, F401  (their queries join these)
+from lorekiln import catalog_compile, catalog_console, catalog_folds, catalog_knowledge, catalog_publish  # noqa: E402, F401  (their queries join these)

@@ -38,7 +38,7 @@ def fixture_catalog(spark, sf_dir):
     )
     fixtures = lines.groupBy("path", "class_id", "class_key").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     got = publish.fixture_catalog(publish.fixture_entries(fixtures))
-    return got.select("doc_id", "file_name", "domain", F.size("fixtures").cast("long").alias("n_fixtures"), *_joined(["classes", "kinds"]), "page_nos", *_joined(["page_types", "brands", "families"]), "n_entries")
+    return got.select("doc_id", "file_name", "domain", "n_fixtures", *_joined(["classes", "kinds"]), "page_nos", *_joined(["page_types", "brands", "families"]), "n_entries")
 
 
 # ---------------------------------------------------------------- releases

@@ -17,20 +17,26 @@ def fixture_entries(fixtures: DataFrame) -> DataFrame:
     return fixtures.select("path", "class_id", "class_key", F.posexplode("entries").alias("place", "entry")).select("path", "class_id", "class_key", "place", "entry.*")
 
 
+def fixture_citations(entries: DataFrame) -> DataFrame:
+    """(doc_id, path): which fixtures cite which documents."""
+    return entries.select("doc_id", "path").distinct()
+
+
 def fixture_catalog(entries: DataFrame) -> DataFrame:
     """The documents that fixtures cite: entries(path, place, class_id, class_key, kind, doc_id, file_name, domain, page_no, page_type, brand, family) → one row for each doc_id.
 
     Name and domain are those of the first entry by path and place; classes, kinds, pages, brands and families are sorted sets. An entry without class takes the last part of its key,
-    one without kind is a fault code, null and empty brands and families do not count. Sets hold distinct values only and are built map-side first, so a document cited by most rows costs no more than its distinct values.
+    one without kind is a fault code, null and empty brands and families do not count. Sets hold what a document and the ontology bound, built map-side first; fixtures, which nothing bounds, are counted only (`fixture_citations` has them).
     """
     filled = entries.withColumns({
         "class_id": F.coalesce(F.nullif("class_id", F.lit("")), F.element_at(F.split(F.coalesce("class_key", F.lit("")), ":"), -1)), "kind": F.coalesce("kind", F.lit(DEFAULT_KIND)),
         "brand": F.nullif("brand", F.lit("")), "family": F.nullif("family", F.lit("")),
     })
     first = F.min_by(F.struct("file_name", "domain"), F.struct("path", "place"))
-    sets = {"fixtures": "path", "classes": "class_id", "kinds": "kind", "page_nos": "page_no", "page_types": "page_type", "brands": "brand", "families": "family"}
+    sets = {"classes": "class_id", "kinds": "kind", "page_nos": "page_no", "page_types": "page_type", "brands": "brand", "families": "family"}
     found = filled.groupBy("doc_id").agg(first.alias("first"), *(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()), F.count("*").alias("n_entries"))
-    return found.select("doc_id", "first.*", *sets, "n_entries")
+    cited = fixture_citations(entries).groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("n_fixtures"))
+    return found.join(cited, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "first.*", "n_fixtures", *sets, "n_entries")
 
 
 def release_items(runs: DataFrame, applied: DataFrame, readiness: DataFrame, packs: DataFrame, entries: DataFrame) -> DataFrame:
