@@ -30,6 +30,7 @@ LANES = 1024
 CHECKPOINT = 512  # rows of lanes between checkpoints
 MAGIC = b"RANS1\0"
 CACHE = 2_000_000  # pieces whose ids a worker remembers, at some 30 bytes each
+LOOKED_UP = 1 << 19  # bytes of texts whose pieces are looked up at once, at some 60 bytes each
 #: Kinds of bytes: 0 white space, 1 ASCII letters and digits, 2 ASCII punctuation without the apostrophe, 3 the rest.
 KIND = np.full(256, 3, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -122,7 +123,7 @@ class PieceCache:
 
     def encode(self, texts: list) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for first, end, buf, offsets in tv.chunks(texts, 2 << 20):
+        for first, end, buf, offsets in tv.chunks(texts, LOOKED_UP):
             kind = KIND[buf]
             inside = kind > 0
             starts_here = inside & ~np.concatenate(([False], inside[:-1]))
@@ -153,6 +154,7 @@ def tokenizer(path: str) -> PieceCache:
 
 def encode_texts(texts: list, path: str) -> dict[str, pa.Array]:
     """Of each text the number of its ids, with the end id, and the ids, packed."""
+    pa.default_memory_pool().release_unused()  # what the batch before took: Arrow would keep it beside numpy's
     pack, counts, packed = zstandard.ZstdCompressor(level=1), [], []
     for ids in tokenizer(path).encode(texts):
         wide = np.append(ids, np.uint32(END_ID))
@@ -353,8 +355,8 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, order: list[Colu
     return table
 
 
-def read_token_files(spark, out_dir: str, table: Table | None) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids of every document, in blocks decoded in parallel and checked."""
+def read_token_files(spark, out_dir: str, table: Table | None, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, ids of every document, in blocks decoded in parallel and checked; without ids these don't leave the worker."""
     blocks = spark.read.parquet(out_dir)
     kind = dict(blocks.dtypes)["doc_ids"].removeprefix("array<")[:-1]
     offsets, total = {}, 0
@@ -373,18 +375,17 @@ def read_token_files(spark, out_dir: str, table: Table | None) -> DataFrame:
                 ends = np.cumsum(lens)
                 start = ends - lens
                 view = memoryview(ids).cast("B")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_ids")[i].values,
-                        pa.array(start + first[row["part"].as_py()] + row["at"].as_py()),
-                        pa.array(lens),
-                        pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.int64()),
-                        pa.array([ids[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.list_(pa.uint32())).cast(pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                cols = {
+                    "doc_id": batch.column("doc_ids")[i].values,
+                    "start": pa.array(start + first[row["part"].as_py()] + row["at"].as_py()),
+                    "n_tokens": pa.array(lens),
+                    "ids_crc32": pa.array([zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                }
+                if with_ids:
+                    cols["ids"] = pa.array([ids[a:b] for a, b in zip(start.tolist(), ends.tolist(), strict=True)], pa.list_(pa.uint32())).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return blocks.mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return blocks.mapInArrow(decode, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def tokens_written_and_read(docs: DataFrame, path: str, order: list[Column] | None = None) -> DataFrame:
@@ -392,4 +393,4 @@ def tokens_written_and_read(docs: DataFrame, path: str, order: list[Column] | No
     spark = docs.sparkSession
     out_dir = shared_folder(spark, "ids")
     table = write_token_files(docs, out_dir, path, order)
-    return read_token_files(spark, out_dir, table).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, out_dir, table, with_ids=False)

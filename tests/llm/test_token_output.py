@@ -1,4 +1,5 @@
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -60,3 +61,39 @@ def test_repeats_null_ids_order_and_empty(spark):
     down = sorted(tok.tokens_written_and_read(docs, path, [F.desc("doc_id")] and [-F.col("doc_id")]).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in down] == [None, 1, 1, 0]
     assert tok.tokens_written_and_read(docs.limit(0), path).count() == 0
+
+
+def test_a_worker_holds_little_beside_its_texts_and_pieces():
+    path = registry.tokenizer_path()
+    rng = np.random.default_rng(3)
+    words = np.array(["word", "of", "some", "text", "and", "more", "it", "is"])
+    texts = [" ".join(words[rng.integers(0, len(words), 1000)]) for _ in range(1000)]
+    pieces = tok.tokenizer(path)
+    list(pieces.encode(texts[:1]))
+    tracemalloc.start()
+    try:
+        n = sum(len(ids) for ids in pieces.encode(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 1_000_000 and peak < 64 << 20  # 4.4 MB of texts
+
+
+def test_ids_do_not_depend_on_how_many_bytes_are_looked_up(monkeypatch):
+    texts = [t.encode("utf-8", "replace").decode() if t else t for t in TEXTS]
+    want = [ids.tolist() for ids in tok.PieceCache(registry.tokenizer_path()).encode(texts)]
+    for size in (1, 50, 1 << 23):
+        monkeypatch.setattr(tok, "LOOKED_UP", size)
+        assert [ids.tolist() for ids in tok.PieceCache(registry.tokenizer_path()).encode(texts)] == want
+
+
+def test_ids_leave_the_files_on_demand_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tok, "BLOCK_IDS", 5)
+    path = registry.tokenizer_path()
+    docs = spark.createDataFrame([(2, "more words here"), (1, "b"), (3, None)], "doc_id long, text string")
+    table = tok.write_token_files(docs, str(tmp_path / "ids"), path)
+    whole, digests = (tok.read_token_files(spark, str(tmp_path / "ids"), table, with_ids) for with_ids in (True, False))
+    assert digests.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and whole.columns == [*digests.columns, "ids"]
+    rows = sorted(whole.collect())
+    assert [r[:4] for r in rows] == sorted(tuple(r) for r in digests.collect())
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.n_tokens for r in rows)
