@@ -142,25 +142,85 @@ def split_by_facets(rows: DataFrame, cluster: str, axes: list[str]) -> DataFrame
     return out.withColumn("facet_group", F.concat_ws("|", *keys)).drop(*keys[1:])
 
 
+TOGETHER = 1 << 18  # pairs that are tightened in one task without parting them by component
+PAIRS = 1 << 21  # pairs of a component, or of a cluster that is linked anew, that one task holds
+
+
+def _linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cluster, as its first row, of each of n rows under greedy complete linkage by links i < j: a row joins the first cluster with all of whose rows it links."""
+    order = np.lexsort((i, j))
+    i, j = i[order], j[order]
+    starts = np.flatnonzero(np.diff(j, prepend=-1))
+    cluster, size = np.arange(n), np.ones(n, np.int64)
+    for at, to in zip(starts, [*starts[1:], len(j)], strict=True):
+        found, links = np.unique(cluster[i[at:to]], return_counts=True)
+        found = found[links == size[found]]
+        if len(found):
+            cluster[j[at]] = found[0]
+            size[found[0]] += 1
+    return cluster
+
+
+def _tightened_in(pdf: pd.DataFrame, least: float, max_size: int, step: float, last: float) -> pd.DataFrame:
+    """`tightened` for whole components: a row with a = b is a node that stands for `similarity` rows, any other a link."""
+    a, b, similarity = (pdf[c].to_numpy() for c in ("a", "b", "similarity"))
+    node = a == b
+    order = np.argsort(a[node], kind="stable")
+    keys, weight = a[node][order], similarity[node][order]
+    i, j, similarity = np.searchsorted(keys, a[~node]), np.searchsorted(keys, b[~node]), similarity[~node]
+    part, live, out, threshold = np.zeros(len(keys), np.int64), np.ones(len(keys), bool), np.arange(len(keys)), least
+    while True:
+        near = (similarity >= threshold) & live[i] & (part[i] == part[j])
+        part = _linked(len(keys), i[near], j[near])
+        settled = live & ((np.bincount(part, weight, len(keys)) <= max_size)[part] | (threshold >= last))
+        out[settled] = part[settled]
+        live &= ~settled
+        if not live.any():
+            return pd.DataFrame({"key": keys, "cluster": keys[out]})
+        threshold = round(threshold + step, 10)
+
+
 def tightened(rows: DataFrame, pairs: DataFrame, key: str, least: float, max_size: int = 15, step: float = 0.05, last: float = 0.95) -> DataFrame:
     """(key, cluster): clusters of complete linkage at `least`; one of more than `max_size` rows is linked anew, within itself, at a threshold
     higher by `step`, until it is small or the threshold is `last` or more. pairs are those at `least`, with their similarity.
 
-    At most (last - least) / step + 1 rounds; the rows of small clusters leave after each.
+    No link leaves its component, so a task takes whole components through all thresholds, in memory that goes with their pairs. One of more than
+    PAIRS is linked by `complete_linkage`, and those of its clusters that are still too large are what the next threshold's tasks take; there are
+    (last - least) / step + 1 such rounds at most.
     """
-    done, rest, near, threshold = None, rows, cut(pairs), least
+    kind, threshold = dict(pairs.dtypes)["a"], least
+    weights = rows.groupBy(F.col(key).alias("a")).agg(F.count("*").cast("double").alias("weight"))
+    ordered = pairs.where(F.col("similarity") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    near = cut(ordered.where("a < b").groupBy("a", "b").agg(F.max("similarity").cast("double").alias("similarity")))
+    if near.limit(TOGETHER + 1).count() <= TOGETHER:
+        nodes = near.select(F.explode(F.array("a", "b")).alias("a")).distinct().withColumn("part", F.lit(0).cast("long"))
+    else:
+        nodes = components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("a"), F.xxhash64("component").alias("part"))
+    done = None
     while True:
-        found = cut(complete_linkage(near.where(F.col("similarity") >= threshold)).toDF(key, "cluster"))
-        found = rest.select(key).join(found, key, "left").withColumn("cluster", F.coalesce("cluster", key))
-        sizes = found.groupBy("cluster").agg(F.count("*").alias("size"))
-        sized = found.join(sizes, "cluster")
-        final = threshold >= last
-        small = sized.select(key, "cluster") if final else sized.where(F.col("size") <= max_size).select(key, "cluster")
+        nodes = cut(nodes.join(weights, "a", "left").select("part", "a", F.coalesce("weight", F.lit(0.0)).alias("weight")))
+        near = cut(near.join(nodes.select("a", "part"), "a").select("part", "a", "b", "similarity"))
+        sizes = cut(near.groupBy("part").agg(F.count("*").alias("pairs")))
+        total = sizes.where(F.col("pairs") <= PAIRS).agg(F.sum("pairs")).first()[0] or 0
+        large = sizes.where(F.col("pairs") > PAIRS).select("part")
+        tasks = F.pmod(F.xxhash64("part"), F.lit(min(total // TOGETHER + 1, 1 << 15))).alias("task")
+        held = nodes.select("part", "a", F.col("a").alias("b"), F.col("weight").alias("similarity")).unionByName(near).join(large, "part", "left_anti")
+        whole = lambda start: lambda pdf: _tightened_in(pdf, start, max_size, step, last)
+        small = held.select(tasks, "a", "b", "similarity").groupBy("task").applyInPandas(whole(threshold), f"key {kind}, cluster {kind}")
         done = small if done is None else done.unionByName(small)
-        large = None if final else cut(sized.where(F.col("size") > max_size).select(key, "cluster"))
-        if large is None or large.isEmpty():
-            return done
-        a, b = large.toDF("a", "ca"), large.toDF("b", "cb")
-        near = cut(near.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "similarity"))
-        rest = rest.join(large.select(key), key, "left_semi")
+        if large.isEmpty():
+            break
+        wide = cut(near.join(large, "part"))
+        found = complete_linkage(wide.where(F.col("similarity") >= threshold).select("a", "b")).toDF("a", "cluster")
+        found = cut(nodes.join(large, "part").join(found, "a", "left").select("a", F.coalesce("cluster", "a").alias("cluster"), "weight"))
+        sized = found.join(found.groupBy("cluster").agg(F.sum("weight").alias("size")), "cluster")
+        settled = F.lit(True) if threshold >= last else F.col("size") <= max_size
+        done = done.unionByName(sized.where(settled).select(F.col("a").alias("key"), "cluster"))
+        rest = cut(sized.where(~settled).select("a", "cluster"))
+        if rest.isEmpty():
+            break
+        ends = wide.join(rest, "a").join(rest.toDF("b", "other"), "b").where("cluster = other")
+        nodes, near = rest.select("a", F.xxhash64("cluster").alias("part")), ends.select("a", "b", "similarity")
         threshold = round(threshold + step, 10)
+    found = done.toDF(key, "cluster")
+    return rows.select(key).join(found, key, "left").withColumn("cluster", F.coalesce("cluster", key))

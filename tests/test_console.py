@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lorekiln.functions import text as X
@@ -68,3 +69,30 @@ def test_named_numbers(spark):
     df = spark.createDataFrame([("FC # 12", "R-22"), ("fc", "r 407 c"), (None, None), ("", "water")], "a string, b string")
     got = df.select(X.fault_number(F.col("a")).alias("n"), X.refrigerant(F.col("b")).alias("g")).collect()
     assert [(r.n, r.g) for r in got] == [("12", "r22"), (None, "r407c"), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize(("most", "last"), [(1 << 21, 0.95), (40, 0.5)])
+def test_components_are_tightened_in_tasks_and_large_ones_in_rounds(spark, monkeypatch, most, last):
+    """Keys with two rows, parted components, and one of more pairs than a task takes; where none is, a threshold more needs no job more."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(cluster, "TOGETHER", 3)
+    monkeypatch.setattr(cluster, "PAIRS", most)
+    x = np.concatenate([rng.normal(size=6) + rng.normal(scale=s, size=(n, 6)) for n, s in ((20, 0.3), (9, 0.5), (20, 0.05), (1, 1))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(f"k{i:03d}", "a", v.tolist()) for i, v in enumerate(x)], "k string, g string, v array<double>")
+    pairs = cluster.similar_pairs(df, "k", "v", "g", 0.4).localCheckpoint()
+    rows, got, rounds, cut = df.unionByName(df.where("k < 'k003'")), {}, [], cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda d: rounds.append(1) or cut(d))
+    for r in cluster.tightened(rows, pairs, "k", 0.4, 5, last=last).collect():
+        got.setdefault(r.cluster, []).append(int(r.k[1:]))
+    assert most == 40 or len(rounds) < 6
+
+    def plain(keys, threshold):
+        found = {}
+        for k, c in zip(keys, cluster.greedy_complete_linkage(keys, x[keys] @ x[keys].T, threshold), strict=True):
+            found.setdefault(c, []).append(k)
+        size = lambda m: sum(1 + (k < 3) for k in m)
+        return [y for m in found.values() for y in ([m] if size(m) <= 5 or threshold >= last else plain(m, round(threshold + 0.05, 10)))]
+
+    want = plain(list(range(50)), 0.4)
+    assert sorted(sorted(m) for m in got.values()) == sorted(sorted([*m, *(k for k in m if k < 3)]) for m in want) and max(map(len, want)) > 5
