@@ -88,12 +88,14 @@ def anchored(candidates: DataFrame, chunks: DataFrame, names: list[str]) -> Data
     )
     text = chunks.select("doc_id", "chunk_id", "chunk_index", "page_no", X.anchor(F.col("text")).alias("text"))
     held = holding(text, asked, ["chunk_id", "chunk_index", "page_no"], within=("doc_id",))
-    backed = held.groupBy("candidate_id", "reason").agg(
-        F.min_by("chunk_id", F.struct("chunk_index", "chunk_id")).alias("chunk_id"), F.min("page_no").alias("page_no"), F.countDistinct("chunk_id").alias("n_chunks")
-    )
-    verbatim = backed.where("reason = 'verbatim'")
-    repaired = backed.where("reason = 'repaired'").join(verbatim.select("candidate_id"), "candidate_id", "left_anti")
-    found = candidates.select("candidate_id").join(verbatim.unionByName(repaired), "candidate_id", "left")
+    # first by document, where what is held already lies
+    chunk = held.groupBy("doc_id", "candidate_id", "reason", "chunk_id").agg(F.min("chunk_index").alias("chunk_index"), F.min("page_no").alias("page_no"))
+    first, n = F.min(F.struct("chunk_index", "chunk_id")).alias("first"), F.count("*").alias("n_chunks")
+    by_doc = chunk.groupBy("doc_id", "candidate_id", "reason").agg(first, F.min("page_no").alias("page_no"), n)
+    backed = by_doc.groupBy("candidate_id", "reason").agg(F.min("first").alias("first"), F.min("page_no").alias("page_no"), F.sum("n_chunks").alias("n_chunks"))
+    # verbatim before repaired
+    best = backed.groupBy("candidate_id").agg(F.max_by(F.struct("first.chunk_id", "page_no", "n_chunks", "reason"), "reason").alias("b")).select("candidate_id", "b.*")
+    found = candidates.select("candidate_id").join(best, "candidate_id", "left")
     return found.select("candidate_id", "chunk_id", "page_no", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("reason", F.lit("rejected")).alias("reason"))
 
 

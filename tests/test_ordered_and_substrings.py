@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorekiln.operators import cluster
+from lorekiln.operators import cluster, substrings
 from lorekiln.operators.ordered import ranked
 from lorekiln.operators.substrings import SCALES, holding
 
@@ -69,3 +70,30 @@ def test_seven_hundred_equal_rows_are_one_cluster_and_no_pairs_none(spark):
 def test_complete_linkage_of_names(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")], "a string, b string")
     assert {r.key: r.cluster for r in cluster.complete_linkage(df, 2).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
+
+
+@pytest.mark.parametrize("window", [16, 1 << 19])
+def test_scans_find_strings_of_any_length(monkeypatch, window):
+    monkeypatch.setattr(substrings, "WINDOW", window)
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abé\n") for _ in range(n))
+    texts = [None, "", *(make(rng.choice([1, 7, 8, 9, 40, 200])) for _ in range(60))]
+    strings = sorted({make(1), *(t[i : i + n] for t in texts[2:] for n in (1, 2, 5, 7, 8, 9, 15, 16, 17, 31, 70) for i in [rng.randrange(len(t))]), *(make(12) for _ in range(9))} - {""})
+    row, which = substrings.scanner(strings)(pa.array(["x", *texts]).slice(1))
+    assert sorted(zip(row.tolist(), which.tolist(), strict=True)) == [(i, j) for i, t in enumerate(texts) for j, s in enumerate(strings) if t and s in t]
+    assert not len(substrings.scanner([])(pa.array(texts))[0]) and not len(substrings.scanner(strings)(pa.array([], pa.string()))[0])
+
+
+def test_many_strings_meet_texts_by_seeds_and_few_in_a_scan_or_by_their_key(spark, monkeypatch):
+    """The same rows, those of repeated strings too, and no row for each seed of a text where strings are few."""
+    texts = spark.createDataFrame([(i, i % 3, f"the number {i} stands in this text of {i % 7} words") for i in range(50)], "k long, d long, text string")
+    strings = spark.createDataFrame([(j, j % 3, s) for j, s in enumerate(["number 1", "stands in this text", "t", "of 3 words", "of 3 words", "none"] * 3)], "j long, d long, string string")
+    held = lambda within: holding(texts, strings if within else strings.drop("d"), ["k"], within=within)
+    rows = lambda df: sorted((r.k, r.j, r.string) for r in df.collect())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    want = {w: rows(held(w)) for w in ((), ("d",))}
+    assert all("_seed" not in plan(held(w)) for w in want) and len(want["d",]) > 50
+    monkeypatch.setattr(substrings, "SENT", 2)
+    for most in (0, 5):
+        monkeypatch.setattr(substrings, "PER_KEY", most)
+        assert all("_seed" in plan(held(w)) and rows(held(w)) == want[w] for w in want)
