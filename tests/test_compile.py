@@ -335,3 +335,15 @@ def test_yaml_packages_round_trip(spark, tmp_path):
         packages.write_yaml(body, f"{tmp_path}/out")
     again = packages.yaml_documents(spark, f"{tmp_path}/out", "*.txt")
     assert sorted(json.dumps(json.loads(r[0]), sort_keys=True) for r in again.select(F.to_json("content")).collect()) == sorted(json.dumps(json.loads(r.content), sort_keys=True) for r in body.collect())
+
+
+@pytest.mark.parametrize("most", [100, 3])
+def test_a_text_gives_a_row_for_each_axis_where_rules_are_few(spark, monkeypatch, most):
+    """The rows that reach the groups; more rules than are sent give the same facets."""
+    monkeypatch.setattr(facet_rules, "SENT", most)
+    rules = [(axis, f"v{i}", word, i) for axis in "ab" for i, word in enumerate(["pump", "pumps", "oil", "pumps", "x"])] + [(None, "n", "oil", 9)]
+    texts = [(1, "Pumps and OIL"), (1, "a pump and oil in it"), (2, "oil oil"), (3, "none"), (4, None)]
+    df = facet_rules.facets(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(rules, "axis string, value string, keyword string, ord long"), "k")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, "a", "v1"), (1, "b", "v1"), (1, None, "n"), (2, "a", "v2"), (2, "b", "v2"), (2, None, "n")], key=str)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert ("MapInArrow" in plan) and ("min_by" in plan) == (most == 3)
