@@ -152,7 +152,7 @@ def _linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     i, j = i[order], j[order]
     starts = np.flatnonzero(np.diff(j, prepend=-1))
     cluster, size = np.arange(n), np.ones(n, np.int64)
-    for at, to in zip(starts, [*starts[1:], len(j)], strict=True):
+    for at, to in zip(starts, np.append(starts, len(j))[1:], strict=True):
         found, links = np.unique(cluster[i[at:to]], return_counts=True)
         found = found[links == size[found]]
         if len(found):

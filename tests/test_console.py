@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,10 @@ def test_components_are_tightened_in_tasks_and_large_ones_in_rounds(spark, monke
 
     want = plain(list(range(50)), 0.4)
     assert sorted(sorted(m) for m in got.values()) == sorted(sorted([*m, *(k for k in m if k < 3)]) for m in want) and max(map(len, want)) > 5
+
+
+def test_a_threshold_that_no_link_reaches_ends_a_cluster():
+    links = [(i, j, 0.5) for i in range(20) for j in range(i + 1, 20)]
+    rows = pd.DataFrame([*((i, i, 1.0) for i in range(20)), *links], columns=["a", "b", "similarity"])
+    assert cluster._tightened_in(rows, 0.5, 15, 0.05, 0.95).cluster.tolist() == list(range(20))
+    assert cluster._tightened_in(rows, 0.5, 20, 0.05, 0.95).cluster.tolist() == [0] * 20
