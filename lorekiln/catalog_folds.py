@@ -142,7 +142,9 @@ def matched_documents(spark, sf_dir):
     docs = T.read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("doc"), F.concat("o_orderpriority", "o_custkey").alias("file_name"), F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / 2)).alias("path"), month("o_orderdate").alias("size_mb"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256")
     )
-    rows = T.read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row")).agg(
+    # dealt by row before the texts are made
+    lines = T.read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_returnflag", "l_suppkey", "l_partkey", "l_shipdate").repartition("row")
+    rows = lines.groupBy("row").agg(
         F.min(F.when(F.col("l_returnflag") == "A", F.concat(F.lit("1-URGENT"), "l_suppkey"))).alias("file_name"), F.min(F.concat(F.lit("p"), F.col("l_partkey") * 3)).alias("path"), F.min(month("l_shipdate")).alias("size_mb"),
         F.min(F.sha2(F.col("l_partkey").cast("string"), 256)).alias("sha256"),
     )

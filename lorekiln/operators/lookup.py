@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 from lorekiln.functions import text as X
 
 
-def cascade(rows: DataFrame, targets: DataFrame, keys: list[tuple[str, str]], target: str, row: str) -> DataFrame:
+def _packed(key: Column) -> Column:
+    """A key as bytes, other keys other bytes; one of hexadecimal digits takes half of its length."""
+    text = key.cast("string")
+    return F.when(text.rlike(r"^([0-9a-f]{2})+\z"), F.concat(F.unhex(F.lit("00")), F.unhex(text))).otherwise(F.concat(F.unhex(F.lit("01")), F.encode(text, "UTF-8")))
+
+
+def cascade(rows: DataFrame, targets: DataFrame, keys: list[tuple[str, str]], target: str, row: str, found_only: bool = False) -> DataFrame:
     """rows with the target and the name of the key that found it; keys are (column of rows, column of targets) and tried in turn.
 
     A key finds a target only if one target alone has its value; a row without any has nulls. Each key is one equi-join with an
-    aggregate of the targets by that key.
+    aggregate of the targets by that key. With found_only rows without a target are left out, `row` is unique and keys are strings: then all keys are
+    looked up in one join to which a row goes as a short row for each key that it has.
     """
+    if found_only:
+        listed = lambda columns: F.inline(F.array(*(F.struct(F.lit(i).cast("tinyint").alias("_by"), _packed(F.col(c)).alias("_key")) for i, c in enumerate(columns))))
+        known = targets.select(F.col(target).alias("target"), listed([theirs for _, theirs in keys])).where("_key IS NOT NULL")
+        unique = known.groupBy("_by", "_key").agg(F.count("*").alias("_n"), F.min("target").alias("target")).where("_n = 1").drop("_n")
+        asked = rows.select(row, listed([mine for mine, _ in keys])).where("_key IS NOT NULL")
+        hits = asked.join(unique.where("target IS NOT NULL"), ["_by", "_key"]).select(row, "_by", "target")
+        first = hits.groupBy(row).agg(*(F.min(F.when(F.col("_by") == i, F.col("target"))).alias(f"_t{i}") for i in range(len(keys))))
+        by = F.coalesce(*(F.when(F.col(f"_t{i}").isNotNull(), mine) for i, (mine, _) in enumerate(keys)))
+        return first.select(row, F.coalesce(*(f"_t{i}" for i in range(len(keys)))).alias("target"), by.alias("matched_by"))
     out, found, by = rows, F.lit(None), F.lit(None).cast("string")
     names = []
     for i, (mine, theirs) in enumerate(keys):
